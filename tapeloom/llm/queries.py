@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import chat_format, exact_dedup, quality_rules, url_filter
+from tapeloom.llm import chat_format, exact_dedup, mixing, packing, quality_rules, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_chat_format": chat_format.op2_chat_format,
+        "op3_mixing": mixing.op3_mixing,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op6_packing": packing.op6_packing,
+        "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_url_filter": url_filter.op10_url_filter,
     }
