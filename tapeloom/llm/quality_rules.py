@@ -52,7 +52,7 @@ def _computed_here(value: Column) -> Column:
     A filter on a verdict would else be pushed below the columns that it uses,
     with their whole computation put in place of each use, inside the loops too.
     """
-    return F.when(F.rand(0) >= 0, value)
+    return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
 def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
