@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import chat_format, exact_dedup, mixing, packing, quality_rules, simhash, url_filter
+from tapeloom.llm import chat_format, exact_dedup, mixing, packing, quality_rules, secrets, simhash, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": secrets.op1_secret_scan,
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_mixing": mixing.op3_mixing,
         "op4_quality_rules": quality_rules.op4_quality_rules,
