@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import chat_format, exact_dedup, mixing, packing, quality_rules, secrets, simhash, url_filter
+from tapeloom.llm import (
+    chat_format,
+    exact_dedup,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    simhash,
+    toxicity,
+    url_filter,
+)
 
 
 def queries() -> dict:
@@ -11,9 +22,11 @@ def queries() -> dict:
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_mixing": mixing.op3_mixing,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_quality_classifier": quality_classifier.op5_quality_classifier,
         "op6_packing": packing.op6_packing,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
