@@ -189,7 +189,7 @@ def book_intention(bids: Column, offers: Column) -> Column:
 def book_metrics(books: DataFrame, depth: int = 5) -> DataFrame:
     """Spread in basis points, quantities of the first levels and their imbalance."""
     top = lambda side: F.aggregate(F.slice(side, 1, depth), F.lit(0.0), lambda a, x: a + x["qty"])
-    bid, ask = F.col("bids")[0]["price"], F.col("offers")[0]["price"]
+    bid, ask = F.get("bids", 0)["price"], F.get("offers", 0)["price"]
     out = books.withColumn("spread_bps", F.round(ratio((ask - bid) * 10_000, (ask + bid) / 2), 2))
     out = out.withColumn("bid_qty", top("bids")).withColumn("ask_qty", top("offers"))
     return out.withColumn("imbalance", F.round(F.coalesce(ratio(F.col("bid_qty") - F.col("ask_qty"), F.col("bid_qty") + F.col("ask_qty")), F.lit(0.0)), 6))
