@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tapeloom.plans import more  # noqa: F401  registers further queries
 from tapeloom.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
