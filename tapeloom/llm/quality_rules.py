@@ -61,8 +61,8 @@ def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
     boilerplate = F.lower(line).rlike(BOILERPLATE)
 
     def by_words(words):
-        shouting = _count(line, r"[!?]{2,}(?:[\x20\x09-\x0D]|$)") > rules.max_marked_words * words
-        navigation = _count(line, r"(?:^|[\x20\x09-\x0D])[|>»•·](?=[\x20\x09-\x0D]|$)") > rules.max_menu_marks * words
+        shouting = _count(line, r"[!?]{2,}(?:[\x20\x09-\x0D]|\z)") > rules.max_marked_words * words
+        navigation = _count(line, r"(?:^|[\x20\x09-\x0D])[|>»•·](?=[\x20\x09-\x0D]|\z)") > rules.max_menu_marks * words
         return (boilerplate & (words <= rules.max_boilerplate_words)) | ((words >= rules.min_words_to_judge) & (symbols | shouting | navigation))
 
     return line.rlike(SUSPECT) & _bind(_count(line, WORD), by_words)
@@ -149,3 +149,27 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_signals(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars"
     )
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+win AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) > 2)),
+many AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+rep AS (SELECT r, count(DISTINCT i + j) AS n FROM many, (VALUES (0), (1), (2)) v(j) GROUP BY r),
+l AS (
+  SELECT r, x, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS chars, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS xw FROM (SELECT r, unnest(lines) AS x FROM d)),
+stay AS (
+  SELECT r, sum(chars) AS kept_chars FROM l WHERE NOT (
+    (len(xw) <= 20 AND regexp_matches(lower(x), '(all rights reserved|cookie|javascript|terms of (use|service)|privacy policy|subscribe|sign (in|up)|licensed under|released under|this work is licensed)'))
+    OR (len(xw) >= 3 AND (len(regexp_extract_all(x, '[#*$%&|<>]')) > 0.1 * length(x)
+      OR len(regexp_extract_all(x, '[!?]{2,}(?:[\x20\x09-\x0D]|\z)')) > 0.5 * len(xw)
+      OR len(list_filter(xw, lambda q: q IN ('|', '>', '»', '•', '·'))) > 0.2 * len(xw)))) GROUP BY r),
+a AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(kept_chars, 0) AS BIGINT) AS kept_chars FROM d LEFT JOIN rep USING (r) LEFT JOIN stay USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND kept_chars >= 0.5 * word_chars AS kept FROM a
+"""

@@ -34,6 +34,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": chat_format.OP2_SQL,
+        "op4_quality_rules": quality_rules.OP4_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
     }
