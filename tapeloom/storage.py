@@ -49,3 +49,9 @@ def numbered(df: DataFrame, order: list[str], name: str = "row_index") -> DataFr
         .withColumn(name, row)
         .drop("_part", "_start", "_at")
     )
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that a job wrote to the shared folder, in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
