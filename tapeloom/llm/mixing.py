@@ -16,7 +16,7 @@ MAX_REPEATS = 3
 SEED = 17
 
 #: Documents in one bucket of the seeded order, on average; one bucket per pattern is sorted.
-BUCKET_DOCS = 10_000
+BUCKET_DOCS = 1_000
 #: Patterns that are broadcast to the documents at most; more are joined by shuffle.
 BROADCAST_PATTERNS = 50_000
 
