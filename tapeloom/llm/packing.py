@@ -84,7 +84,7 @@ def _encoder(path: str):
 def is_plain(word: bytes) -> bool:
     """Only letters, in lower case and composed form: the tokenizer's clean-up leaves such a word as it is."""
     w = word.decode()
-    return w.isalpha() and (w.isascii() or (w == w.lower() and unicodedata.is_normalized("NFC", w)))
+    return w.isalpha() and w == w.lower() and (w.isascii() or unicodedata.is_normalized("NFC", w))
 
 
 #: Marks that end a word: the tokenizer parts them from the ASCII letter or digit before.

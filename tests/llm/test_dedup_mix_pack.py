@@ -156,7 +156,7 @@ def test_packing_round_trip(spark, odd):
 
     path = packing.default_tokenizer()
     model = Tokenizer.from_file(path)
-    extra = "Don't <|endoftext|> stop now\x1cor\x0bnever İstanbul Σας é ＡＢＣ 中文字 🙂🙂 it's"
+    extra = "End NOW... x,; 12.5% NOW! Don't <|endoftext|> stop now\x1cor\x0bnever İstanbul Σας é ＡＢＣ 中文字 🙂🙂 it's"
     rows = [(i, t) for i, t in odd[0] if i is not None and t != LONG] + [(50, extra)]
     rows += [(r.doc_id + 100, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
