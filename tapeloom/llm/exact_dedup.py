@@ -87,7 +87,7 @@ def exact_groups(docs: DataFrame, keep: str = "max", digest=digest_of) -> DataFr
         winners = texts.join(near(hits.select("digest", "keep_id")), "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
         # cut, so that both sides of the next join are shuffled for it and a large group can be split
         winners = cut(winners.groupBy("digest").agg(F.first("text").alias("winner")))
-        differ = cut(texts.join(winners, "digest").where("text <> winner").select("digest").distinct())
+        differ = cut(texts.join(winners, "digest").where("text <> winner").select("digest")).distinct()
         if not differ.isEmpty():
             # a collision: these digests' groups are told apart by the whole text
             texts = texts.join(differ, "digest", "left_semi")
