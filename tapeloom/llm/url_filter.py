@@ -65,8 +65,8 @@ def _block(key: Column, blocks: int) -> Column:
 
 def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
     """One row for each block in use: its number and its words, from the column ``key``."""
-    bits = keys.select(_block(F.col("key"), blocks).alias("block"), *[_bit(F.col("key"), w).alias(f"w{w}") for w in range(WORDS)])
-    return bits.groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)])
+    bits = keys.select(_block(F.col("key"), blocks).alias("_block"), *[_bit(F.col("key"), w).alias(f"_w{w}") for w in range(WORDS)])
+    return bits.groupBy("_block").agg(*[F.bit_or(f"_w{w}").alias(f"_w{w}") for w in range(WORDS)])
 
 
 def listed_hits(pages: DataFrame, listed: DataFrame) -> DataFrame:
@@ -79,13 +79,13 @@ def listed_hits(pages: DataFrame, listed: DataFrame) -> DataFrame:
     listed = cut(listed.where("key IS NOT NULL").select("key").distinct())
     blocks = max(1, math.ceil(listed.count() * BITS_PER_URL / (32 * WORDS)))
     near = F.broadcast if blocks <= MAX_BROADCAST_BLOCKS else (lambda x: x)
-    probe = pages.withColumn("block", _block(F.col("key"), blocks))
-    probe = probe.join(near(bloom_blocks(listed, blocks)), "block", "left")
+    probe = pages.drop("listed", "possible_hit").withColumn("_block", _block(F.col("key"), blocks))
+    probe = probe.join(near(bloom_blocks(listed, blocks)), "_block", "left")
     every = F.lit(True)
     for w in range(WORDS):
         bit = _bit(F.col("key"), w)
-        every = every & (F.coalesce(F.col(f"w{w}"), F.lit(0)).bitwiseAND(bit) == bit)
-    probe = probe.withColumn("possible_hit", every & F.col("key").isNotNull()).drop("block", *[f"w{w}" for w in range(WORDS)])
+        every = every & (F.coalesce(F.col(f"_w{w}"), F.lit(0)).bitwiseAND(bit) == bit)
+    probe = probe.withColumn("possible_hit", every & F.col("key").isNotNull()).drop("_block", *[f"_w{w}" for w in range(WORDS)])
     # only possible hits carry a key into the join; the others' nulls are never shuffled by value
     tested = probe.where("possible_hit").join(listed.withColumn("listed", F.lit(True)), "key", "left")
     tested = tested.withColumn("listed", F.coalesce("listed", F.lit(False)))
@@ -97,7 +97,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
 
     A null URL, or one without ``://``, has an empty host and path, fits no
     rule and is on no list: it is allowed. Repeated rows are judged alike and
-    all returned. ``listed`` has a column url, in any of its spellings.
+    all returned. ``listed`` has a column url, in any of its spellings. Input
+    columns with the names of the result are replaced, and so is ``key``.
     """
     key = lambda df: df.withColumn("key", canonical(F.col("host"), F.col("path")))
     split = lambda df: df.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))

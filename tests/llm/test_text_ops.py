@@ -118,7 +118,7 @@ def test_chat_round_trip_and_machine(spark):
 
 def test_url_verdicts(spark):
     urls = ["https://Example.ORG/es/1", "http://a.example.org/en/12?x", "http://example.org", "http://x.com/fr/a", "http://x.com/de/a", "ftp://h.net/p#f", None, "nothing", "http://", "http://notexample.org/es/", "http://h.net/p.html?utm_source=feed", "http://www.h.net/p/", "http://h.net/q"]
-    pages = spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0])], "page_id long, url string").withColumn("host", F.lit(1))
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0])], "page_id long, url string").withColumns({c: F.lit(1) for c in ("host", "key", "block", "w0", "listed", "verdict", "id")})
     got = {r.page_id: r for r in url_filter.judge_urls(pages, url_filter.syndicated(pages)).collect()}
     assert [(got[i].rule, got[i].verdict) for i in range(len(urls))] == [
         ("example.org/es/", "block"), ("example.org/en/1", "block"), (None, "allow"), ("com/fr/", "allow"), ("com/de/", "block"), (None, "block"), (None, "allow"), (None, "allow"), (None, "allow"), ("org/", "allow"), (None, "block"), (None, "block"), (None, "allow")
