@@ -194,3 +194,43 @@ def on_demand_features(day_rows: DataFrame, key: str = "instrument") -> DataFram
     r, e, p = F.col("recent"), F.col("early"), F.col("price_change")
     state = first_match([((r > e * 1.5) & (r > 0), "ACCUMULATION"), ((r < e * 0.5) & (r < 0), "DISTRIBUTION"), ((r > 0) & (p > 2), "READY_MARKUP"), ((r < 0) & (p < -2), "POTENTIAL_TOP")], "NEUTRAL")
     return g.withColumn("state", state).drop("a", "z")
+
+
+def flow_features(flow: DataFrame, least: int = 5) -> DataFrame:
+    """The same question asked of broker flow: state and features in -3..3 from each ticker's days.
+
+    Tickers with fewer than ``least`` days are neutral and all 0. Missing
+    prices are 0 and left out of the average.
+    """
+    w = W.partitionBy("ticker")
+    d = flow.withColumn("_up", F.row_number().over(w.orderBy("date"))).withColumn("_down", F.row_number().over(w.orderBy(F.desc("date"))))
+    part = lambda k: F.sum(F.when(F.col(k) <= 5, F.col("smart_net")).otherwise(0))
+    g = d.groupBy("ticker").agg(
+        F.count("*").alias("days"),
+        F.avg(F.col("total_value").cast("double")).alias("_value"),
+        F.min_by("price", "date").alias("_a"),
+        F.max_by("price", "date").alias("_z"),
+        F.avg(F.when(F.col("price") > 0, F.col("price"))).alias("_mean"),
+        F.sum("smart_net").cast("double").alias("_total"),
+        F.max(F.abs("smart_net")).cast("double").alias("_most"),
+        part("_down").cast("double").alias("_recent"),
+        part("_up").cast("double").alias("_early"),
+    )
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    g = g.withColumn("_change", zero(ratio((F.col("_z") - F.col("_a")) * 100, F.when(F.col("_a") > 0, F.col("_a")))))
+    enough = F.col("days") >= least
+    scale = lambda x, top: F.when(enough, clamp(x / top * 3, -3.0, 3.0)).otherwise(0.0)
+    r, e, p = F.col("_recent"), F.col("_early"), F.col("_change")
+    state = first_match([(~enough, "NEUTRAL"), ((r > 0) & (r > e * 1.2), "ACCUMULATION"), ((r < 0) & (r < e * 0.8), "DISTRIBUTION"), ((r > 0) & (p > 3), "READY_MARKUP"), ((r < 0) & (p < -3), "POTENTIAL_TOP")], "NEUTRAL")
+    most = F.coalesce(F.nullif(F.col("_most"), F.lit(0.0)), F.lit(1.0))
+    off = zero(ratio((F.col("_z") - F.col("_mean")) * 100, F.when(F.col("_z") > 0, F.col("_mean"))))
+    return g.select(
+        "ticker",
+        "days",
+        scale(F.col("_value"), 5e9).alias("effort"),
+        scale(p, 10).alias("response"),
+        scale(F.col("_total") / F.col("days"), most).alias("quality"),
+        scale(off, 5).alias("vwap"),
+        scale(zero(ratio(p, F.col("_total") / 1_000_000)), 5).alias("elasticity"),
+        state.alias("state"),
+    )

@@ -272,3 +272,16 @@ def _(s, d):
 def _(s, d):
     lv = tape.levels(signed(s, d))
     return lv.select("instrument", "bucket", "p", (F.col("bv") >= F.col("av")).alias("buy_side"), ratio(F.col("bv"), F.col("bv") + F.col("av")).alias("balance"))
+
+
+@query("r07_flow_features", """
+, k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS u, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS w FROM f),
+a AS (SELECT ticker, count(*) AS days, avg(CAST(total_value AS DOUBLE)) AS v, arg_min(price, date) AS a, arg_max(price, date) AS z, avg(price) FILTER (price > 0) AS m, CAST(sum(smart_net) AS DOUBLE) AS t, CAST(max(abs(smart_net)) AS DOUBLE) AS x,
+  CAST(sum(smart_net) FILTER (w <= 5) AS DOUBLE) AS r, CAST(sum(smart_net) FILTER (u <= 5) AS DOUBLE) AS e FROM k GROUP BY 1),
+c AS (SELECT *, coalesce(100 * CAST(z - a AS DOUBLE) / nullif(greatest(a, 0), 0), 0) AS p FROM a)
+SELECT ticker, days, round(greatest(-3, least(3, v / 5e9 * 3)), 6) AS effort, round(greatest(-3, least(3, p / 10 * 3)), 6) AS response, round(greatest(-3, least(3, t / days / coalesce(nullif(x, 0), 1) * 3)), 6) AS quality,
+  round(greatest(-3, least(3, coalesce((z - m) * 100 / m, 0) / 5 * 3)), 6) AS vwap, round(greatest(-3, least(3, coalesce(p / nullif(t / 1000000, 0), 0) / 5 * 3)), 6) AS elasticity,
+  CASE WHEN r > 0 AND r > e * 1.2 THEN 'ACCUMULATION' WHEN r < 0 AND r < e * 0.8 THEN 'DISTRIBUTION' WHEN r > 0 AND p > 3 THEN 'READY_MARKUP' WHEN r < 0 AND p < -3 THEN 'POTENTIAL_TOP' ELSE 'NEUTRAL' END AS state FROM c WHERE days >= 5""", "f")
+def _(s, d):
+    x = activity.flow_features(flow(s, d)).where("days >= 5")
+    return r6(x, "effort", "response", "quality", "vwap", "elasticity")
