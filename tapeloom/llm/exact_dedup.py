@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import table, text_of
-from tapeloom.storage import cut
+from tapeloom.storage import cut, remove, shared_dir
 
 #: Hits whose digests go to every executor at most (some 50 bytes each); more are joined by shuffle.
 FILTER_MAX_HITS = 200_000
@@ -16,54 +18,59 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/merge-index-{uuid.uuid4().hex}"
+
+
 class MergeIndex:
-    """Sorted runs of (digest, keep_id, copies) that compaction merges.
+    """Sorted runs of (digest, id) with Bloom filters, and the compacted run of (digest, keep_id, copies).
 
-    Each partition of a batch is a memtable: it is combined and sorted in the
-    executor's memory (spilling if need be) and flushed as one sorted run.
-    ``compact`` merges the runs, keeping one identifier per digest.
+    Each partition of a batch is a memtable: the executor sorts it in memory
+    (spilling if need be) and flushes it as a sorted run. ``compact`` merges
+    all runs into one identifier and one count per digest. Runs are Parquet
+    files in ``folder``, which all executors share. Their ranges and Bloom
+    filters let :meth:`lookup` skip the row groups without a digest.
     """
 
-    def __init__(self, keep: str = "min"):
+    def __init__(self, spark: SparkSession, folder: str, keep: str = "min"):
         if keep not in ("min", "max"):
             raise ValueError("keep is min or max")
+        self.spark, self.folder = spark, folder
         self.pick = F.min if keep == "min" else F.max
-        self.runs: list[DataFrame] = []
-
-    def flush(self, entries: DataFrame) -> None:
-        """Add a batch of (digest, id): partial sums per partition, then sorted runs."""
-        fresh = entries.select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("copies"))
-        self.runs.append(self._merge(fresh))
+        self.runs: list[str] = []
 
-    def flush_run(self, run: DataFrame) -> None:
-        """Add a run of (digest, keep_id, copies) that was stored earlier."""
-        self.runs.append(run.select("digest", "keep_id", "copies"))
+    def _write(self, rows: DataFrame, name: str) -> str:
+        path = f"{self.folder}/{name}"
+        options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+        rows.sortWithinPartitions("digest").write.options(**options).parquet(path)
+        return path
 
-    def _merge(self, runs: DataFrame) -> DataFrame:
-        return runs.groupBy("digest").agg(self.pick("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
+    def flush(self, entries: DataFrame) -> DataFrame:
+        """Store a batch with columns digest and id (others are stored beside); returns it, read back."""
+        self.runs.append(self._write(entries, f"run-{len(self.runs)}"))
+        return self.spark.read.parquet(self.runs[-1])
 
     def compact(self) -> DataFrame:
-        merged = self.runs[0]
-        for run in self.runs[1:]:
-            merged = merged.unionByName(run)
-        merged = self._merge(merged) if len(self.runs) > 1 else merged
-        self.runs = [cut(merged.sortWithinPartitions("digest"))]
-        return self.runs[0]
+        """Merge all runs flushed so far; returns (digest, keep_id, copies). Partial sums come before the shuffle."""
+        runs = self.spark.read.parquet(*self.runs)
+        merged = runs.groupBy("digest").agg(self.pick("id").alias("keep_id"), F.count("*").alias("copies"))
+        self.compacted = self._write(merged, f"compacted-{len(self.runs)}")
+        return self.spark.read.parquet(self.compacted)
 
-    def save(self, path: str) -> None:
-        """Store the compacted run with Bloom filters on its digests, so that later lookups skip row groups."""
-        run = self.compact().repartitionByRange("digest").sortWithinPartitions("digest")
-        run.write.mode("overwrite").option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
+    def lookup(self, digests: list[bytes]) -> DataFrame:
+        """The compacted entries of a few digests; needs a call of ``compact`` before."""
+        return self.spark.read.parquet(self.compacted).where(F.col("digest").isin(*map(F.lit, digests)))
 
 
-def exact_groups(docs: DataFrame, keep: str = "max", digest=digest_of) -> DataFrame:
-    """Group identical texts; returns ``docs`` columns plus keep_id, group_size, kept, text_sha256.
+def exact_groups(docs: DataFrame, keep: str = "max", digest=digest_of, folder: str | None = None) -> DataFrame:
+    """Group identical texts; returns doc_id, keep_id, group_size, kept, text_sha256 of every row.
 
     Needs columns doc_id and text. A null text counts as empty, a null doc_id
     never wins against a number, and an empty table gives an empty result.
     Rows that repeat both doc_id and text stay in one group; one of them is
-    kept (which one cannot be told apart). Other columns pass through, those
-    with the result's names are replaced.
+    kept (which one cannot be told apart). Other columns are ignored. The
+    result reads the index, which lies in ``folder`` (by default a new one in
+    the shared folder).
 
     Digests that occur more than once are hits: their texts are compared byte
     for byte with the text of the row that stays. Texts that differ in spite
@@ -71,10 +78,9 @@ def exact_groups(docs: DataFrame, keep: str = "max", digest=digest_of) -> DataFr
     """
     spark = docs.sparkSession
     sha = F.sha2(text_of(), 256)
-    slim = docs.select("doc_id", digest(text_of()).alias("digest"), F.unhex(sha).alias("sha"))
-    slim = cut(slim)
-    index = MergeIndex(keep)
-    index.flush(slim.select("digest", F.col("doc_id").alias("id")))
+    slim = docs.select(F.col("doc_id").alias("id"), digest(text_of()).alias("digest"), F.unhex(sha).alias("sha"))
+    index = MergeIndex(spark, folder or new_folder(spark), keep)
+    slim = index.flush(slim).withColumnRenamed("id", "doc_id")
     merged = index.compact()
     hits = merged.where("copies > 1")
     n_hits = hits.count()
@@ -117,7 +123,9 @@ def drop_exact_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
     shuffled while the hits are few enough to broadcast.
     """
     columns = docs.columns
-    groups = cut(exact_groups(docs, keep).where("group_size > 1").withColumn("_sha", F.unhex("text_sha256")))
+    folder = new_folder(docs.sparkSession)
+    groups = cut(exact_groups(docs, keep, folder=folder).where("group_size > 1").withColumn("_sha", F.unhex("text_sha256")))
+    remove(docs.sparkSession, folder)  # nothing reads the index any more
     drops = groups.where("NOT kept").select(F.col("doc_id").alias("_id"), "_sha").distinct()
     again = groups.where("kept").groupBy("doc_id", "_sha").count().where("count > 1")
     again = again.select(F.col("doc_id").alias("_id"), "_sha", F.lit(True).alias("_again"))

@@ -39,6 +39,15 @@ def test_exact_with_colliding_digests(spark, odd):
     assert key(got) == key(brute.exact(rows))
 
 
+def test_index_merges_runs_and_finds_digests(spark, tmp_path):
+    index = exact_dedup.MergeIndex(spark, f"file://{tmp_path}/index")
+    batch = lambda ids: spark.createDataFrame([(bytes([k % 7]) * 32, k) for k in ids], "digest binary, id long")
+    index.flush(batch(range(20, 40)))
+    index.flush(batch(range(20)))
+    assert {(r.digest[0], r.keep_id, r.copies) for r in index.compact().collect()} == {(k, k, 5 + (k < 5)) for k in range(7)}
+    assert [(r.keep_id, r.copies) for r in index.lookup([b"\x03" * 32, b"\x63" * 32]).collect()] == [(3, 6)]
+
+
 def test_drop_exact_copies(spark, odd):
     rows, df = odd
     left = exact_dedup.drop_exact_copies(df)
