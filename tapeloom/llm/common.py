@@ -29,6 +29,37 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def sha_of(column: str = "text") -> Column:
+    return F.unhex(F.sha2(text_of(column), 256))
+
+
+#: Marks of rows that are broadcast at most; more are joined by shuffle.
+BROADCAST_MARKS = 1_000_000
+
+
+def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component of ``groups``: that with the smallest doc_id, nulls last.
+
+    ``groups`` has doc_id, sha (of the text) and component of every row; rows
+    with one text are in one component. Among rows of one doc_id the smallest
+    digest stays; rows that repeat both cannot be told apart, one of them stays.
+    """
+    columns = docs.columns
+    keys = groups.groupBy("component", "doc_id", "sha").agg(F.count("*").alias("n"))
+    first = keys.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
+    keys = keys.join(first, "component")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
+    marks = cut(keys.where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), stays.alias("_again")))
+    near = F.broadcast if marks.count() <= BROADCAST_MARKS else (lambda x: x)
+    rows = docs.withColumn("_text_sha", sha_of())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))
+    rest = rows.join(near(marks), same, "left_anti")
+    again = marks.where("_again")
+    if not again.isEmpty():
+        rest = rest.unionByName(rows.join(near(again), same, "left_semi").dropDuplicates(["doc_id", "_text_sha"]))
+    return rest.select(columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node that has a link, as (node, root).
 

@@ -110,6 +110,46 @@ def test_drop_near_copies_keeps_one_of_each_group(spark):
     assert simhash.drop_near_copies(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cap", [64, 2])
+def test_near_stage_drops_all_copies_of_similarity_080(spark, odd, cap):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    for _ in range(12):
+        words = [f"v{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        for _ in range(rng.randrange(2, 6)):
+            edited = list(words)
+            for _ in range(max(1, len(words) // rng.choice([60, 80, 120]))):
+                edited[rng.randrange(len(words))] = "edit"
+            texts.append(" ".join(edited))
+    rows = list(enumerate(texts)) + [(i, t) for i, t in odd[0] if t != LONG]
+    sets = []
+    for _, t in rows:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    group = list(range(len(rows)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) * 5 >= len(a | b) * 4:
+                group[max(find(i), find(j))] = min(find(i), find(j))
+    want = defaultdict(list)
+    for i, (doc, _) in enumerate(rows):
+        want[find(i)].append(doc)
+    firsts = [min((d for d in g if d is not None), default=None) for g in want.values()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.near(spark, df, SF) if cap == 64 else corpus_pipeline.jaccard.drop_near_copies(df, cap)
+    assert left.columns == df.columns
+    assert key([r.doc_id for r in left.collect()]) == key(firsts)
+    assert corpus_pipeline.near(spark, df.limit(0), SF).count() == 0
+
+
 def test_mixing_reaches_targets(spark, odd):
     for df in (odd[1].select("doc_id", "text", F.array("source").alias("members")), spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.array("source").alias("members"))):
         rows = df.collect()
