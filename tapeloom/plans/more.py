@@ -9,6 +9,7 @@ from tapeloom.functions.scalars import ratio
 from tapeloom.operators import activity, relational, rolling, scoring, tape
 from tapeloom.plans.queries import HYBRID, LEVELS, REGIME, SMART, bars, contexts, days, flow, money, net, query, r6, regimes, signed, ticks
 from tapeloom.sources import adapters
+from tapeloom.storage import numbered
 
 
 @query("p03_session_window", "SELECT instrument, count(*) AS n, sum(vol)::BIGINT AS vol FROM c WHERE CAST(bucket AS TIME) BETWEEN TIME '02:00:00' AND TIME '09:00:00' GROUP BY 1", "c")
@@ -244,6 +245,13 @@ def _(s, d):
     return h.orderBy(F.coalesce("score", F.lit(0.0)).desc(), "instrument", "date").limit(40).select("instrument", "date", F.round("score", 6).alias("score"))
 
 
+@query("k01_all_sorted_scores", HYBRID + " SELECT instrument, date, round(score, 6) AS score, row_number() OVER (ORDER BY coalesce(score, 0) DESC, instrument, date) AS place FROM h2", "o")
+def _(s, d):
+    h = scoring.hybrid_daily(contexts(s, d)).withColumn("_sc", -F.coalesce("score", F.lit(0.0)))
+    placed = numbered(h.select("instrument", "date", "score", "_sc"), ["_sc", "instrument", "date"], "place")
+    return placed.orderBy("place").select("instrument", "date", F.round("score", 6).alias("score"), (F.col("place") + 1).alias("place"))
+
+
 @query("k06_latest_rows", "SELECT instrument, date, close FROM d QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY date DESC) <= 7", "d")
 def _(s, d):
     return relational.top(days(s, d), ["instrument"], [F.desc("date")], 7).select("instrument", "date", "close")

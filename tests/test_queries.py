@@ -46,3 +46,13 @@ def test_query_matches_sql(spark, sql, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_k01_all_sorted_scores_keeps_every_item(spark):
+    got = plans.QUERIES["k01_all_sorted_scores"](spark, SF).collect()
+    assert len(got) == plans.QUERIES["c01_hybrid_daily"](spark, SF).count() > 40
+    assert [r.place for r in got] == list(range(1, len(got) + 1))
+    want = sorted(got, key=lambda r: (-(r.score or 0), r.place))
+    assert [r.score for r in got] == [r.score for r in want]
+    cut = plans.QUERIES["k01_sorted_scores"](spark, SF).collect()
+    assert [tuple(r) for r in cut] == [tuple(r)[:3] for r in got[:40]]
