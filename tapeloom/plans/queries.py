@@ -401,6 +401,12 @@ def _(s, d):
     return money(net(s, d, ("broker", "ticker")).select("broker", "ticker", "net").orderBy(F.desc(F.abs("net")), "broker", "ticker").limit(25))
 
 
+@query("k04_ranked_abs_net", "SELECT broker, ticker, CAST(net AS DOUBLE) AS net, row_number() OVER (PARTITION BY broker ORDER BY abs(net) DESC, ticker) AS place FROM (SELECT broker, ticker, sum(net) AS net FROM n GROUP BY ALL)", "n")
+def _(s, d):
+    place = F.row_number().over(W.partitionBy("broker").orderBy(F.desc(F.abs("net")), "ticker"))
+    return money(net(s, d, ("broker", "ticker")).select("broker", "ticker", "net", place.alias("place")))
+
+
 # ---- rolling features ----
 
 ZSQL = "coalesce(CASE WHEN count(*) OVER w{n} >= 2 THEN ({c} - avg({c}) OVER w{n}) / nullif(stddev_pop({c}) OVER w{n}, 0) END, 0)"

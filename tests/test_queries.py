@@ -56,3 +56,12 @@ def test_k01_all_sorted_scores_keeps_every_item(spark):
     assert [r.score for r in got] == [r.score for r in want]
     cut = plans.QUERIES["k01_sorted_scores"](spark, SF).collect()
     assert [tuple(r) for r in cut] == [tuple(r)[:3] for r in got[:40]]
+
+
+def test_k04_ranked_abs_net_keeps_every_pair(spark):
+    got = plans.QUERIES["k04_ranked_abs_net"](spark, SF).collect()
+    pairs = plans.net(spark, SF, ("broker", "ticker")).select("broker", "ticker").collect()
+    assert sorted((r.broker, r.ticker) for r in got) == sorted((r.broker, r.ticker) for r in pairs) and len(got) > 25
+    for broker in {r.broker for r in got}:
+        own = sorted((r for r in got if r.broker == broker), key=lambda r: (-abs(r.net), r.ticker))
+        assert [r.place for r in own] == list(range(1, len(own) + 1))
