@@ -231,12 +231,18 @@ def _(s, d):
     return o.select("instrument", "date", F.when(thin, 0.0).otherwise(F.col("delta_pct")).alias("d"), F.when(thin, "daily_stats").otherwise("candles").alias("source"))
 
 
+def hot_inputs(s, d):
+    """The inputs of the hot score by instrument and day; the slopes are changes from the day before, divergence is that of the hybrid score."""
+    w = W.partitionBy("instrument").orderBy("date")
+    o = contexts(s, d).withColumns({"chg": F.col("price_pct"), "value": F.col("vol"), "pressure": 50 + F.col("delta_pct") / 2, "cvd": F.col("delta"), "p_slope": F.col("delta_pct") - F.lag("delta_pct").over(w), "c_slope": F.col("delta") - F.lag("delta").over(w)})
+    factor = scoring.divergence_factor(F.col("ctx_state"), F.col("delta_pct"), F.col("ctx_z"))
+    divergent = F.coalesce(F.col("ctx_found") & (factor <= 0.7), F.lit(False))
+    return o.withColumns({"bss": 50 + F.col("delta_pct") / 2, "ats": 50 - F.col("price_pct") / 10, "divergent": divergent})
+
+
 @query("c11_hot_score")
 def _(s, d):
-    w = W.partitionBy("instrument").orderBy("date")
-    o = tape.order_flow(days(s, d)).withColumns({"chg": F.col("price_pct"), "value": F.col("vol"), "pressure": 50 + F.col("delta_pct") / 2, "cvd": F.col("delta"), "p_slope": F.col("delta_pct") - F.lag("delta_pct").over(w), "c_slope": F.lit(0.0)})
-    o = o.withColumns({"bss": 50 + F.col("delta_pct") / 2, "ats": 50 - F.col("price_pct") / 10, "divergent": F.lit(False)})
-    return activity.hot_score(o, ["date"]).select("instrument", "date", "hot", "stage", F.array_join("reasons", ",").alias("reasons"))
+    return activity.hot_score(hot_inputs(s, d), ["date"]).select("instrument", "date", "hot", "stage", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("k01_sorted_scores", HYBRID + " SELECT instrument, date, round(score, 6) AS score FROM h2 ORDER BY coalesce(score, 0) DESC, instrument, date LIMIT 40", "o")

@@ -6,22 +6,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeloom.operators import flows, rolling, scoring, screens, tape
-from tapeloom.plans.queries import CAL, CTX, bars, contexts, days, flow, money, net, query, r6, ticks
+from tapeloom.plans.queries import CAL, CTX, QUERIES, bars, contexts, days, flow, money, net, query, r6, ticks
 from tapeloom.sources import adapters
 
 
+TODAY = "2024-01-30"
+
+
+def completeness(s, d):
+    """Days with the missing hours of eight and how complete they are."""
+    hour = F.hour("bucket")
+    missing = bars(s, d).groupBy("instrument", "date").agg((8 - F.count_distinct(F.when(hour.between(2, 9), hour))).alias("missing"))
+    x = days(s, d).join(missing, ["instrument", "date"])
+    late = F.hour("last_bucket") * 60 + F.minute("last_bucket")
+    today = F.lit(TODAY).cast("date")
+    return x.withColumn("completeness", F.when(F.col("candles") < 10, "SPARSE_DATA").when((F.col("date") < today) & (late < 1200), "CUT").otherwise("COMPLETE"))
+
+
+def repair_plan(x):
+    return screens.repair_plan(x, F.lit(TODAY).cast("date")).select("instrument", "date", "repair", "priority", "missing_ratio")
+
+
 @query("p15_repair_plan", """
 , h AS (SELECT instrument, date, 8 - count(DISTINCT extract(hour FROM bucket)) FILTER (extract(hour FROM bucket) BETWEEN 2 AND 9) AS missing FROM c GROUP BY ALL),
 k AS (SELECT d.*, h.missing, CASE WHEN candles < 10 THEN 'SPARSE_DATA' WHEN date < DATE '2024-01-30' AND extract(hour FROM last_bucket) * 60 + extract(minute FROM last_bucket) < 1200 THEN 'CUT' ELSE 'COMPLETE' END AS st FROM d JOIN h USING (instrument, date))
 SELECT instrument, date, st = 'CUT' OR (date <> DATE '2024-01-30' AND st <> 'SPARSE_DATA' AND missing >= 2) AS repair, CASE WHEN st = 'CUT' THEN 'high' ELSE 'normal' END AS priority, CAST(missing AS DOUBLE) / 8 AS missing_ratio FROM k""", "d")
 def _(s, d):
-    hour = F.hour("bucket")
-    missing = bars(s, d).groupBy("instrument", "date").agg((8 - F.count_distinct(F.when(hour.between(2, 9), hour))).alias("missing"))
-    x = days(s, d).join(missing, ["instrument", "date"])
-    late = F.hour("last_bucket") * 60 + F.minute("last_bucket")
-    today = F.lit("2024-01-30").cast("date")
-    x = x.withColumn("completeness", F.when(F.col("candles") < 10, "SPARSE_DATA").when((F.col("date") < today) & (late < 1200), "CUT").otherwise("COMPLETE")).withColumn("thin", F.lit(False))
-    return screens.repair_plan(x, today).select("instrument", "date", "repair", "priority", "missing_ratio")
+    return repair_plan(completeness(s, d).withColumn("thin", F.lit(False)))
+
+
+@query("p15_repair_plan_thin", """
+, h AS (SELECT instrument, date, 8 - count(DISTINCT extract(hour FROM bucket)) FILTER (extract(hour FROM bucket) BETWEEN 2 AND 9) AS missing FROM c GROUP BY ALL),
+w AS (SELECT instrument, date, bool_or(trades < 2) AS thin FROM (SELECT *, row_number() OVER (PARTITION BY instrument, date ORDER BY bucket) AS k FROM c) WHERE k <= 10 GROUP BY ALL),
+k AS (SELECT d.*, h.missing, w.thin, CASE WHEN candles < 10 THEN 'SPARSE_DATA' WHEN date < DATE '2024-01-30' AND extract(hour FROM last_bucket) * 60 + extract(minute FROM last_bucket) < 1200 THEN 'CUT' ELSE 'COMPLETE' END AS st FROM d JOIN h USING (instrument, date) LEFT JOIN w USING (instrument, date))
+SELECT instrument, date, coalesce(thin, false) OR st = 'CUT' OR (date <> DATE '2024-01-30' AND st <> 'SPARSE_DATA' AND missing >= 2) AS repair, CASE WHEN st = 'CUT' THEN 'high' ELSE 'normal' END AS priority, CAST(missing AS DOUBLE) / 8 AS missing_ratio FROM k""", "d")
+def _(s, d):
+    return repair_plan(completeness(s, d).join(QUERIES["p16_thin_candles"](s, d), ["instrument", "date"], "left"))
 
 
 @query("p20_activity_filter", ", a AS (SELECT broker, ticker, sum(net) AS net, sum(buy + sell) AS total FROM n GROUP BY ALL) SELECT broker, ticker, CAST(net AS DOUBLE) AS net FROM a WHERE net > 0 AND total >= 100000 AND broker IN (SELECT broker FROM a GROUP BY 1 HAVING count(DISTINCT ticker) >= 20)", "n")

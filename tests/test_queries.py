@@ -65,3 +65,24 @@ def test_k04_ranked_abs_net_keeps_every_pair(spark):
     for broker in {r.broker for r in got}:
         own = sorted((r for r in got if r.broker == broker), key=lambda r: (-abs(r.net), r.ticker))
         assert [r.place for r in own] == list(range(1, len(own) + 1))
+
+
+def test_p15_repair_plan_thin_repairs_thin_days(spark):
+    thin = {(r.instrument, r.date): r.thin for r in plans.QUERIES["p16_thin_candles"](spark, SF).collect()}
+    plain_plan = {(r.instrument, r.date): r.repair for r in plans.QUERIES["p15_repair_plan"](spark, SF).collect()}
+    got = {(r.instrument, r.date): r.repair for r in plans.QUERIES["p15_repair_plan_thin"](spark, SF).collect()}
+    assert got == {k: v or thin[k] for k, v in plain_plan.items()} and got != plain_plan
+
+
+def test_c11_inputs_have_a_cvd_slope_and_the_divergence_of_the_hybrid_score(spark):
+    rows = more.hot_inputs(spark, SF).orderBy("instrument", "date").collect()
+    for a, b in zip(rows, rows[1:]):
+        if a.instrument == b.instrument:
+            assert b.c_slope == b.delta - a.delta
+    assert any(r.c_slope for r in rows)
+    kinds = {(r.instrument, r.date): r.div_type for r in plans.QUERIES["c01_hybrid_daily"](spark, SF).collect()}
+    assert {(r.instrument, r.date) for r in rows if r.divergent} == {k for k, v in kinds.items() if v} != set()
+    hot = {(r.instrument, r.date): r.hot for r in plans.QUERIES["c11_hot_score"](spark, SF).collect()}
+    fixed = more.hot_inputs(spark, SF).withColumn("c_slope", more.F.lit(0.0)).withColumn("divergent", more.F.lit(False))
+    fixed = {(r.instrument, r.date): r.hot for r in more.activity.hot_score(fixed, ["date"]).collect()}
+    assert hot.keys() == fixed.keys() and hot != fixed
