@@ -144,6 +144,16 @@ def clean_lines(text: Column, rules: LineRules = LineRules()) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x, rules)), "\n")
 
 
+def without_failing_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """``docs`` with cleaned texts, and n_chars, if there, of those that changed; null texts stay null."""
+    suspect = F.col("text").rlike(SUSPECT)
+    out = docs.withColumn("_clean", _computed_here(F.when(suspect, clean_lines(F.col("text"), rules)).otherwise(F.col("text"))))
+    if "n_chars" in docs.columns:
+        same = F.col("_clean").eqNullSafe(F.col("text"))
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("_clean").cast("long")))
+    return out.withColumn("text", F.col("_clean")).select(docs.columns)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rule_signals(docs).select(

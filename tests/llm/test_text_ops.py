@@ -50,6 +50,17 @@ def test_lines_are_judged_one_by_one(spark):
     assert df.first().t == "A plain line of words.\n\nThe end of it."
 
 
+def test_quality_stage_passes_on_cleaned_texts(spark):
+    import corpus_pipeline
+
+    body = "\n".join(f"one{i} two{i} three{i} four{i}" for i in range(20))
+    rows = [(1, f"{body}\nPlease accept our cookie policy\n\nThe end of it", 7), (2, body, 7), (3, "too short", 7), (4, None, 7)]
+    out = corpus_pipeline.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "")
+    want = f"{body}\n\nThe end of it"
+    assert sorted(tuple(r) for r in out.collect()) == [(1, want, len(want)), (2, body, 7)]
+
+
+
 def test_filter_on_the_verdict_keeps_columns(spark, odd):
     out = quality_rules.rule_signals(odd[1]).where("kept").select(odd[1].columns)
     assert out.columns == odd[1].columns
