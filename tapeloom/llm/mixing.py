@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import WORD, components, table, text_of
+from tapeloom.llm.common import WORD, components, sha_of, table, text_of
 from tapeloom.storage import cut, numbered
 
 WEIGHTS = (5, 2, 1)
@@ -119,8 +119,18 @@ def _solved(patterns: DataFrame, repeats: int) -> DataFrame:
     return patterns.join(flows, "pattern")
 
 
+def member_set(m: Column) -> Column:
+    none = F.array(F.lit(None).cast("string"))
+    m = F.coalesce(m, none)
+    return F.array_sort(F.array_distinct(F.when(F.size(m) == 0, none).otherwise(m)))
+
+
+def pattern_of(members: str | Column) -> Column:
+    return F.to_json(members, {"ignoreNullFields": "false"})
+
+
 def mix(docs: DataFrame, members: str = "members", weights=WEIGHTS, repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, members, source_size, target, taken) of every document.
+    """(doc_id, size, members, source_size, target, taken, sha) of every document; sha is that of its text.
 
     ``docs`` has doc_id, text and ``members``, the array of sources that hold
     the document (an element may be null; an empty or null array counts as the
@@ -131,10 +141,8 @@ def mix(docs: DataFrame, members: str = "members", weights=WEIGHTS, repeats: int
     gives only its first words. Rows that repeat a doc_id are taken one by
     one. An empty table gives no rows.
     """
-    m = F.coalesce(F.col(members), F.array(F.lit(None).cast("string")))
-    m = F.array_sort(F.array_distinct(F.when(F.size(m) == 0, F.array(F.lit(None).cast("string"))).otherwise(m)))
-    slim = docs.select("doc_id", m.alias("members"), size_of(text_of()).alias("size"))
-    slim = slim.withColumn("pattern", F.to_json("members", {"ignoreNullFields": "false"})).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
+    slim = docs.select("doc_id", member_set(F.col(members)).alias("members"), size_of(text_of()).alias("size"), sha_of().alias("sha"))
+    slim = slim.withColumn("pattern", pattern_of("members")).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
     slim = cut(slim)
     targets = cut(source_targets(slim, weights, repeats))
     patterns = slim.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("supply"), F.count("*").alias("n"))
@@ -169,23 +177,41 @@ def mix(docs: DataFrame, members: str = "members", weights=WEIGHTS, repeats: int
     rows = slim.join(near(plans), "pattern")
     at_stop = F.col("_bucket").eqNullSafe(F.col("_stop"))
     sure = rows.where(~at_stop).withColumn("extra", F.when(F.col("_bucket") < F.col("_stop"), F.col("size")).otherwise(0))
-    order = W.partitionBy("pattern").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("pattern").orderBy("_h", "doc_id", "size", "sha").rowsBetween(W.unboundedPreceding, -1)
     stop = rows.where(at_stop)
     need = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(order), F.lit(0))
     stop = stop.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least("size", need)))
     taken = (F.col("whole") * F.col("size") + F.col("extra")).cast("long")
-    return sure.unionByName(stop).select("doc_id", "size", "members", "source_size", "target", taken.alias("taken"))
+    return sure.unionByName(stop).select("doc_id", "size", "members", "source_size", "target", taken.alias("taken"), "sha")
 
 
-def draw(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def draw(docs: DataFrame, mixed: DataFrame, members: Column | None = None) -> DataFrame:
     """The documents that the mix takes: each as often as it is taken, the last time cut to its words.
 
-    ``mixed`` has doc_id and taken, one row for each row of ``docs`` (doc_ids
-    unique). Whole copies keep their text; ids repeat with the copies.
+    ``mixed`` is the result of :func:`mix`, one row for each row of ``docs``.
+    Rows are matched by doc_id, text and members (by default, those of column
+    source, if there); rows that repeat all three are taken in turn, each with
+    a take of its own. Whole copies keep their text; ids repeat with the copies.
     """
     columns = docs.columns
-    takes = mixed.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    rows = docs.join(takes, F.col("doc_id").eqNullSafe(F.col("_id")))
+    if members is None:
+        members = F.array("source") if "source" in columns else None
+    pattern = F.lit("") if members is None else pattern_of(member_set(members))
+    takes = mixed.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), (F.lit("") if members is None else pattern_of("members")).alias("_of"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    takes = cut(takes)
+    rows = docs.withColumns({"_row_sha": sha_of(), "_row_of": pattern})
+    key, row_key = ["_id", "_sha", "_of"], ["doc_id", "_row_sha", "_row_of"]
+    again = cut(takes.groupBy(key).count().where("count > 1").drop("count").toDF("_a", "_b", "_c"))
+    same = lambda x, y: F.col(x[0]).eqNullSafe(F.col(y[0])) & (F.col(x[1]) == F.col(y[1])) & (F.col(x[2]) == F.col(y[2]))
+    if again.isEmpty():
+        rows = rows.join(takes.where("_taken > 0"), same(row_key, key))
+    else:
+        marks = ["_a", "_b", "_c"]
+        once = rows.join(again, same(row_key, marks), "left_anti").join(takes.where("_taken > 0"), same(row_key, key))
+        turn = lambda x, by: x.join(again, same(by, marks), "left_semi").withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy(F.lit(0))))
+        own = turn(takes, key).withColumnRenamed("_k", "_n")
+        several = turn(rows, row_key).join(own, same(row_key, key) & (F.col("_k") == F.col("_n"))).where("_taken > 0")
+        rows = once.unionByName(several.drop("_k", "_n"))
     turns = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
     rows = rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), turns)))
     left = (F.col("_taken") - (F.col("_turn") - 1) * F.col("_size")).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import components, small_batches, table
+from tapeloom.llm.common import components, keep_one, sha_of, small_batches, table
 from tapeloom.storage import cut
 
 SHINGLE_WORDS = 3
@@ -39,18 +39,18 @@ def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; null texts have no words and fingerprint zero."""
+    """(doc_id, sha, fp) of every row; null texts have no words and fingerprint zero."""
     small_batches(docs.sparkSession)
 
     def scan(batches):
         import pyarrow as pa
 
         for b in batches:
-            fps = [fingerprint(t.as_py() or "") for t in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [fingerprint(t.as_py() or "") for t in b.column(2)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["doc_id", "sha", "fp"])
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return ids.mapInArrow(scan, "doc_id long, fp long")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha_of().alias("sha"), "text")
+    return ids.mapInArrow(scan, "doc_id long, sha binary, fp long")
 
 
 def _high(x: Column) -> Column:
@@ -114,31 +114,28 @@ def near_groups(docs: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
     part and are the id only of a group that has no other. Repeated rows give
     repeated results, an empty table an empty one.
     """
-    found = cut(fingerprints(docs))
-    firsts = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(firsts.select("fp"), cap))
-    known = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    found, known = _rooted(docs, cap)
     ids = known.groupBy("root").agg(F.min("first").alias("component_id"))
     named = known.join(ids, "root").select("fp", "component_id")
-    return found.join(named, "fp")
+    return found.select("doc_id", "fp").join(named, "fp")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group, that with the smallest doc_id."""
-    groups = near_groups(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    gone = cut(groups.select("doc_id").distinct().exceptAll(stay))
-    return _without(docs, gone)
-
+def _rooted(docs: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of every row, and (fp, first doc_id, root of its group)."""
+    found = cut(fingerprints(docs))
+    firsts = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(firsts.select("fp"), cap))
+    return found, firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
-#: Dropped ids that are broadcast at most; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group, that with the smallest doc_id.
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    near = F.broadcast if gone.count() <= BROADCAST_IDS else (lambda x: x)
-    gone = near(gone.withColumnRenamed("doc_id", "_gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    Each row is decided for itself, also where rows repeat a doc_id; a null
+    doc_id stays only where its group has no other.
+    """
+    found, roots = _rooted(docs, BUCKET_CAP)
+    return keep_one(docs, cut(found.join(roots, "fp").select("doc_id", "sha", F.col("root").alias("component"))))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

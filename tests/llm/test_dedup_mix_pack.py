@@ -200,6 +200,34 @@ def test_draw_follows_the_mix(spark):
     assert took == {r.doc_id: r.taken for r in mixed.collect() if r.taken}
 
 
+@pytest.mark.parametrize("module", ["simhash", "jaccard"])
+def test_near_copies_are_dropped_by_row(spark, odd, module):
+    import importlib
+
+    drop = importlib.import_module(f"tapeloom.llm.{module}").drop_near_copies
+    other = " ".join(f"q{i}" for i in range(80))
+    rows = [(i, t) for i, t in odd[0] if t != LONG and t != LONG + " tail"] + [(2, other), (2, other), (None, other + "x " + LONG)]
+    left = drop(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # 'a b c d' in any case, no words, 'x', the other text, the long one of a null id
+    assert key([(r.doc_id, (r.text or "").lower().split()[:1]) for r in left]) == key([(1, ["a"]), (3, []), (9, ["x"]), (2, ["q0"]), (None, ["q0"])])
+
+
+def test_draw_gives_each_row_its_own_take(spark, odd):
+    rows, df = odd
+    more = spark.createDataFrame([(2, "a b c e", "en", "u", 1, 7), (2, "a b c d", "en", "u", 1, 7), (2, "a b c d", "en", "u", 1, 7)], df.schema)
+    docs = df.unionByName(more)
+    mixed = mixing.mix(docs.withColumn("members", F.array("source")))
+    out = mixing.draw(docs, mixed)
+    assert out.columns == docs.columns
+    took, want = defaultdict(int), defaultdict(int)
+    for r in out.collect():
+        took[r.doc_id, r.source] += len(brute.words(r.text))
+    for r in mixed.collect():
+        if r.taken:
+            want[r.doc_id, r.members[0]] += r.taken
+    assert took == want
+
+
 def test_packing_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
