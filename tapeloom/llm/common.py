@@ -11,17 +11,23 @@ from tapeloom.storage import cut
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-#: Rows per Arrow batch: documents are large, so batches stay at a few MB.
-TEXT_BATCH_ROWS = 256
+#: Rows of an Arrow batch that a scan of whole texts holds as Python objects at a time.
+SLICE_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Arrow batches that carry whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+def slices(batches):
+    """The same rows in smaller batches.
+
+    Spark itself bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch);
+    slices share its memory, so results go out before the next rows come in.
+    """
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(at, SLICE_ROWS)
 
 
 def text_of(column: str = "text") -> Column:

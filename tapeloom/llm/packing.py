@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import itertools
-import re
-import unicodedata
 from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import small_batches, table
+from tapeloom.llm.common import slices, table
+from tapeloom.llm.tokens import encoder
 from tapeloom.storage import cut, numbered
 
 WINDOW = 2048
@@ -20,105 +19,26 @@ GRAIN = 32
 #: Lengths in one combination at most.
 DEPTH = 3
 END_ID = 1
-#: Distinct words whose ids a Python process remembers, in each of two generations.
-CACHE_WORDS = 200_000
 
 #: ``marks``: of a piece that may be cut again, the CRCs of its first 1, 2, ... grains, as unsigned 32-bit integers.
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, marks binary"
 
 
-#: By tokenizer: the ids of words that this Python process met, in two generations.
-_known: dict[str, tuple[dict, dict]] = {}
-
-
-def _encoder(path: str):
-    """Texts -> ids as little-endian unsigned 32-bit integers, by the tokenizer at ``path``.
-
-    It drops white space and never joins across it, so texts are encoded word
-    by word, and words met before are looked up. The process keeps the words
-    of its last batches; the older generation goes when the newer is full.
-    """
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
-    import numpy as np
-    from tokenizers import Tokenizer, pre_tokenizers
-
-    model = Tokenizer.from_file(path)
-    # the same merges without the clean-up that a plain word does not need
-    bare = Tokenizer(model.model)
-    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    last = np.zeros(model.get_vocab_size(), bool)  # tokens that end a word
-    last[[i for t, i in model.get_vocab().items() if t.endswith("</w>")]] = True
-    end = np.array([END_ID], "<u4").tobytes()
-
-    def encode(texts: list[str]) -> list[bytes]:
-        words = [split_words(t) for t in texts]
-        young, old = _known.get(path, ({}, {}))
-        if len(young) > CACHE_WORDS:
-            young, old = {}, young
-        _known[path] = (young, old)
-        missing = set().union(*words).difference(young)
-        again = missing.intersection(old)
-        young.update(zip(again, map(old.__getitem__, again), strict=True))
-        new = missing - again
-        plain = [w for w in new if is_plain(w)]
-        for at in range(0, len(plain), 1024):
-            part = plain[at : at + 1024]
-            flat = np.array(bare.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
-            ends = [0, *(4 * (np.flatnonzero(last[flat]) + 1)).tolist()]
-            if len(ends) == len(part) + 1:
-                flat = flat.tobytes()
-                young.update((w, flat[i:j]) for w, i, j in zip(part, ends, ends[1:], strict=False))
-        rest = [w for w in new if w not in young]
-        for at in range(0, len(rest), 1024):
-            part = rest[at : at + 1024]
-            found = model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            young.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
-        get = young.__getitem__
-        return [b"".join(map(get, ws)) + end for ws in words]
-
-    return encode
-
-
-def is_plain(word: bytes) -> bool:
-    """Only letters, in lower case and composed form: the tokenizer's clean-up leaves such a word as it is."""
-    w = word.decode()
-    return w.isalpha() and w == w.lower() and (w.isascii() or unicodedata.is_normalized("NFC", w))
-
-
-#: Marks that end a word: the tokenizer parts them from the ASCII letter or digit before.
-_FINAL_MARKS = re.compile(rb"(?<=[a-z0-9])([.,!?;:*%$#&]+)(?=[ \t\n\x0b\x0c\r]|$)")
-
-
-def split_words(text: str) -> list[bytes]:
-    """Parts of a text that the tokenizer encodes apart from each other.
-
-    ASCII white space parts them, and a run of final marks stands alone. The
-    tokenizer ignores case, but not in the names of its special tokens: texts
-    that may hold one are only split.
-    """
-    data = text.encode()
-    if b"<|" in data:
-        return data.split()
-    return _FINAL_MARKS.sub(rb" \1", data.lower()).split()
-
-
 def tokenized_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, grain: int = GRAIN) -> DataFrame:
     """Cut every document's ids into full windows, a multiple of ``grain`` and a rest."""
     import zlib
 
     import numpy as np
 
-    small_batches(docs.sparkSession)
-
     def scan(batches):
         import pyarrow as pa
 
-        encode = _encoder(tokenizer)
-        for b in batches:
+        encode, closing = encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
+        for b in slices(batches):
             rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for doc, ids in zip(b.column(0).to_pylist(), encode(texts), strict=True):
+                ids = ids.tobytes() + closing
                 n = len(ids) // 4
                 full = n - n % window
                 cuts = [*range(0, full, window), full, n - n % grain, n]

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import small_batches, table
+from tapeloom.llm.common import slices, table
 from tapeloom.llm.labels import held_out, training_texts
 
 #: Labelled rows to learn from, at most, and passages of each, spread over the whole text.
@@ -144,12 +144,10 @@ def fit(bags: list[np.ndarray], y: np.ndarray, steps: int = 800, batch: int = 25
 
 def training_bags(texts: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     """Encoded passages of the training texts, made on the executors; bounded by the two MAX_TRAIN figures."""
-    small_batches(texts.sparkSession)
-
     def scan(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text in b.column(1).to_pylist():
                 x = encode(text or "")
@@ -176,12 +174,10 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     table gives no rows. Without labelled rows of both kinds all scores are 0.5.
     """
     model = train(docs, labels)
-    small_batches(docs.sparkSession)
-
     def scan(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             scores, n = [], []
             for t in b.column(1):
                 x = encode(t.as_py() or "")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import small_batches, table
+from tapeloom.llm.common import slices, table
 from tapeloom.storage import cut
 
 #: Base kinds in their listed order; group ``v`` is the value, ``least`` its shortest length.
@@ -70,8 +70,6 @@ FOUND = "doc_id long, repo string, owner string, row long, spans array<struct<ki
 
 def candidates(docs: DataFrame) -> DataFrame:
     """Spans of every row of ``docs`` (doc_id, repo, owner, text); values leave the task only as digests."""
-    small_batches(docs.sparkSession)
-
     def scan(batches):
         import hashlib
         import math
@@ -85,7 +83,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         def entropy(v):
             return -sum(n / len(v) * math.log2(n / len(v)) for n in Counter(v).values())
 
-        for b in batches:
+        for b in slices(batches):
             spans = [
                 [{"kind": k, "start": s, "end": e, "digest": hashlib.sha256(v.encode()).digest()[:16], "entropy": entropy(v)} for k, s, e, v in scan_text(t.as_py() or "", kinds)]
                 for t in b.column(4)

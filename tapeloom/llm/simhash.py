@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import components, keep_one, sha_of, small_batches, table
+from tapeloom.llm.common import components, keep_one, sha_of, slices, table
 from tapeloom.storage import cut
 
 SHINGLE_WORDS = 3
@@ -40,12 +40,10 @@ def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, sha, fp) of every row; null texts have no words and fingerprint zero."""
-    small_batches(docs.sparkSession)
-
     def scan(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             fps = [fingerprint(t.as_py() or "") for t in b.column(2)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["doc_id", "sha", "fp"])
 

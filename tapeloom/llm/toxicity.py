@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import small_batches, table
+from tapeloom.llm.common import slices, table
 from tapeloom.llm.labels import held_out, training_texts
 from tapeloom.storage import cut
 
@@ -201,14 +201,13 @@ def learn_lexicon(texts: DataFrame) -> Lexicon:
 
 def score_sums(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, label if there is one, total, most, tokens) of every row."""
-    small_batches(docs.sparkSession)
     keep = ["doc_id", *(["label"] if "label" in docs.columns else [])]
 
     def scan(batches):
         import pyarrow as pa
 
         score = Scorer(lexicon)
-        for b in batches:
+        for b in slices(batches):
             got = [score(t.as_py() or "") for t in b.column(0)]
             total, most, tokens = ([x[k] for x in got] for k in range(3))
             yield pa.record_batch([*b.columns[1:], pa.array(total, pa.float64()), pa.array(most, pa.float64()), pa.array(tokens, pa.int64())], names=[*keep, "total", "most", "tokens"])

@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.llm import exact_dedup, mixing, packing, simhash
+from tapeloom.llm import exact_dedup, mixing, packing, simhash, tokens
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -233,27 +233,30 @@ def test_packing_round_trip(spark, odd):
 
     path = packing.default_tokenizer()
     model = Tokenizer.from_file(path)
-    extra = "End NOW... x,; 12.5% NOW! Don't <|endoftext|> stop now\x1cor\x0bnever İstanbul Σας é ＡＢＣ 中文字 🙂🙂 it's"
-    rows = [(i, t) for i, t in odd[0] if i is not None and t != LONG] + [(50, extra)]
+    extra = "End NOW... x,; 12.5% NOW! Don't <|endoftext|> stop now\x1cor\x0bnever İstanbul Σας é ＡＢＣ 中文字 🙂🙂 it's"
+    rows = odd[0] + [(50, extra)]  # with null ids, a repeated row, empty texts and two very long ones
     rows += [(r.doc_id + 100, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame([(i, t, 1, 1) for i, t in rows], "doc_id long, text string, start long, marks int")
     pieces = packing.pack_documents(df, path).collect()
-    ids = {}
+    ids = defaultdict(list)
     for i, t in rows:
-        ids[i] = [*model.encode(t or "", add_special_tokens=False).ids, 1]
+        ids[i].append([*model.encode(t or "", add_special_tokens=False).ids, 1])
     of, seqs = defaultdict(list), defaultdict(list)
     for p in pieces:
-        of[p.doc_id].append(p)
         seqs[p.sequence_id].append(p)
-        body = b"".join(x.to_bytes(4, "little") for x in ids[p.doc_id][p.start : p.start + p.length])
-        assert zlib.crc32(body) == p.ids_crc32 and p.doc_tokens == len(ids[p.doc_id])
-    for i, _ in rows:
-        if i != 2:  # repeated row
+        of[p.doc_id].append(p)
+    assert set(of) == set(ids)
+    crc = lambda x: zlib.crc32(b"".join(k.to_bytes(4, "little") for k in x))
+    for i, texts in ids.items():
+        # a piece may belong to any text of a repeated id; together they tile all of them
+        assert sum(p.length for p in of[i]) == sum(map(len, texts))
+        for p in of[i]:
+            assert any(len(x) == p.doc_tokens and crc(x[p.start : p.start + p.length]) == p.ids_crc32 for x in texts)
+        if len(texts) == 1:
             at = 0
             for p in sorted(of[i], key=lambda p: p.start):
                 assert p.start == at
                 at += p.length
-            assert at == len(ids[i])
     for s in seqs.values():
         at = 0
         for p in sorted(s, key=lambda p: p.offset):
@@ -265,6 +268,24 @@ def test_packing_round_trip(spark, odd):
     assert packing.pack_documents(df.limit(0), path).count() == 0
 
 
+def test_merger_gives_the_ids_of_the_tokenizer():
+    encode = tokens.TextEncoder(packing.default_tokenizer())
+    rng = random.Random(9)
+    usual = [chr(k) for k in range(1, 1 << 16) if encode.kinds[k] != tokens.UNUSUAL]
+    common = "abcdefghijklmnopqrstuvwxyzABCäöüßéèñçабвгдежз" + "'" * 5 + ".,;!?-_()[]{}@#$%^&*~`|0123456789²½€™«»stmdlrve \n\t"
+    words = rng.choices(list(encode.model.get_vocab()), k=3_000)
+    texts = [" ".join(words[k : k + 30]) for k in range(0, len(words), 30)]
+    texts += ["".join(rng.choice(common) for _ in range(rng.randrange(1, 200))) for _ in range(1_500)]
+    texts += ["".join(rng.choice(usual) for _ in range(20)) for _ in range(1_500)]
+    texts += ["it's IT'S we'Re 'tis '" + "'s a'' 'll' 'd've x'm'", "a'", "'", "", " \n", "a\0b", "x <|endoftext|> <|EndOfText|>", "y" * 1_000, "🙂 hi", "İ Σας é", "\x1c\x85\xa0　x"]
+    rng.shuffle(texts)
+    want = encode.model.encode_batch_fast(texts, add_special_tokens=False)
+    assert [x.tolist() for x in encode(texts)] == [x.ids for x in want]
+    assert sum(map(encode._usual, texts)) > 3_000
+    encode.merger = None  # as for a tokenizer of another form
+    assert [x.tolist() for x in encode(texts[:50])] == [x.ids for x in want[:50]]
+
+
 @pytest.mark.parametrize("seed", [3, 4, 5])
 def test_layout_places_every_id_once(seed):
     rng = random.Random(seed)
