@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapeloom.storage import cut
+
 FOLDS = 5
+#: UTF-8 bytes of all training texts together, at most: rows are taken until the next one would not fit.
+MAX_TRAIN_BYTES = 128 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -13,13 +18,22 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, target: str, most: int, seed: int = 11) -> DataFrame:
-    """(doc_id, text, label) of at most ``most`` labelled rows outside the held-out fold.
+def training_texts(docs: DataFrame, labels: DataFrame, target: str, most: int, seed: int = 11, most_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
+    """(doc_id, text, label) of at most ``most`` labelled rows outside the held-out fold, with whole texts.
 
-    Ids are taken in the order of a seeded hash. Null labels and ids are left
-    out; of repeated ids the larger label counts, and each of their texts.
+    Ids are taken in the order of a seeded hash, as long as their texts fit
+    into ``most_bytes`` together; only ids of ``docs`` count. Null labels and
+    ids are left out; of repeated ids the larger label counts, and the least
+    of their texts. So ``most`` and ``most_bytes`` bound the result whatever
+    repeats.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max(F.col(target).cast("int")).alias("label"))
-    chosen = rows.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``most`` ids
+    turn = F.xxhash64(F.lit(seed), "doc_id")
+    chosen = rows.orderBy(turn, "doc_id").limit(most)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``most`` ids
+    found = cut(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))
+    # one row of two numbers for each chosen id: a short window
+    upto = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(W.orderBy(turn, "doc_id"))
+    fits = found.select("doc_id", upto.alias("bytes")).where(F.col("bytes") <= most_bytes).select("doc_id")
+    return found.join(F.broadcast(fits), "doc_id")

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import slices, table
 from tapeloom.llm.labels import held_out, training_texts
 
-#: Labelled rows to learn from, at most, and passages of each, spread over the whole text.
+#: Labelled rows to learn from, at most; all passages of each (see also ``labels.MAX_TRAIN_BYTES``).
 MAX_TRAIN_ROWS = 4_000
-MAX_TRAIN_PASSAGES = 16
 
 #: Bytes of UTF-8 in a passage.
 PASSAGE_BYTES = 1024
@@ -143,7 +142,11 @@ def fit(bags: list[np.ndarray], y: np.ndarray, steps: int = 800, batch: int = 25
 
 
 def training_bags(texts: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Encoded passages of the training texts, made on the executors; bounded by the two MAX_TRAIN figures."""
+    """All encoded passages of the training texts, made on the executors.
+
+    A passage of 1,024 bytes becomes 584 bytes, so the bound on the texts'
+    bytes bounds what the driver gets.
+    """
     def scan(batches):
         import pyarrow as pa
 
@@ -151,8 +154,6 @@ def training_bags(texts: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
             rows = []
             for text in b.column(1).to_pylist():
                 x = encode(text or "")
-                if len(x) > MAX_TRAIN_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, MAX_TRAIN_PASSAGES).round().astype(int)]
                 rows.append(x.astype(np.float32).tobytes())
             yield pa.record_batch([b.column(0), b.column(2), pa.array(rows, pa.binary())], names=["doc_id", "label", "bag"])
 
