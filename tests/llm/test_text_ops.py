@@ -197,9 +197,94 @@ def test_grammar_weighs_clauses():
     assert total("she said: an idiot") == total("an idiot")  # a new clause
     assert total("critics said idiot") < total("idiot")
     assert total("i will kill you") > 0 and total("kill the process") == 0
+    # who acts is no object, and an object stands near
+    assert total("they kill the process") == total("people beat the record") == total("you kill me") == 0
     assert total("you. idiot") == total("idiot")
 
 
+def plain_clauses(tokens, lexicon, weights):
+    """(total, heaviest clause, sums by symbol) with every transducer run for itself, symbol by symbol."""
+    total, most, clause, sums = 0.0, 0.0, 0.0, dict.fromkeys(toxicity.SYMBOLS, 0.0)
+    machines = toxicity.cascade()
+    states = [m.start for m in machines]
+    for t in [*tokens, "."]:
+        if t in toxicity.CLAUSE_ENDS:
+            total, most, clause = total + clause, max(most, clause), 0.0
+            states = [m.start for m in machines]
+            continue
+        c, w = lexicon.classify(t)
+        symbol = toxicity.NAMES[c]
+        for k, m in enumerate(machines):
+            states[k], symbol = m.arcs.get((states[k], symbol), (states[k], symbol))
+        clause += weights.get(symbol, 0.0) * w
+        if symbol in sums:
+            sums[symbol] += w
+    return total, most, list(sums.values())
+
+
+def test_composed_grammar_matches_its_transducers():
+    rng = random.Random(2)
+    lexicon = toxicity.Lexicon({"idiot": 1.0, "fool": 0.7, "fine": 0.0}, {"moro": 1.5})
+    weights = {x: rng.random() for x in toxicity.SYMBOLS}
+    score = toxicity.Scorer(lexicon, weights)
+    words = ["idiot", "fool", "fine", "morons", "kill", "hurt", "you", "them", "not", "never", "said", "wrote", "the", "process", ".", "!", "\n"]
+    for _ in range(400):
+        tokens = rng.choices(words, k=rng.randrange(0, 40))
+        total, most, sums = plain_clauses(tokens, lexicon, weights)
+        got = score(" ".join(tokens))
+        assert got == (pytest.approx(total), pytest.approx(most), len(tokens))
+        assert score.parts(" ".join(tokens)) == (pytest.approx(sums), len(tokens))
+
+
+def test_weights_of_symbols_are_learned():
+    rng = np.random.default_rng(3)
+    at = {x: k for k, x in enumerate(toxicity.SYMBOLS)}
+    parts = np.zeros((600, len(at)))
+    parts[:, at["insult-aimed"]] = rng.integers(0, 2, 600)
+    parts[:, at["insult-reported"]] = rng.integers(0, 2, 600)
+    y = (parts[:, at["insult-aimed"]] > 0).astype(float)
+    got = toxicity.learned_weights(parts, np.full(600, 50.0), y)
+    # here reports of insults are never toxic; symbols that no text has stay as they were
+    assert got["insult-reported"] < toxicity.WEIGHTS["insult-reported"] and got["insult-aimed"] >= toxicity.WEIGHTS["insult-aimed"]
+    assert got["insult"] == toxicity.WEIGHTS["insult"] and got["threat"] == 0.0
+
+
+def test_scores_of_attention_match_plain_loops():
+    import math
+
+    g = np.random.default_rng(1)
+    texts = ["Plain words, one after the other. " * 90, "", "x", "a b\n" * 700, "ÄÖÜ ß !! ### " * 40]
+    bags = [quality_classifier.encode(t) for t in texts]
+    m = quality_classifier.GatedAttention.start(np.concatenate(bags))
+    for v in m.p.values():
+        v[...] = g.normal(size=v.shape)
+    dot = lambda a, b: sum(float(x) * float(y) for x, y in zip(a, b, strict=True))
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    p = m.p
+    for bag in bags:
+        hidden, energy = [], []
+        for x in (bag - m.mean) / m.scale:
+            h = [math.tanh(dot(x, p["w"][:, j]) + p["b"][j]) for j in range(len(p["b"]))]
+            gate = [math.tanh(dot(h, p["v"][:, j])) * sig(dot(h, p["u"][:, j])) for j in range(p["v"].shape[1])]
+            hidden.append(h)
+            energy.append(dot(gate, p["a"]))
+        e = [math.exp(x - max(energy)) for x in energy]
+        z = [sum(w * h[j] for w, h in zip(e, hidden, strict=True)) / sum(e) for j in range(len(hidden[0]))]
+        assert m.forward(bag, np.array([0]))[0][0] == pytest.approx(sig(dot(z, p["c"]) + float(p["d"][0])))
+    assert [len(b) for b in bags] == [-(-len(t.encode()) // 1024) or 1 for t in texts]
+
+
+def test_training_sample_is_bounded(spark):
+    rows = [(i % 50, "v" * (i % 7 + 1)) for i in range(400)] + [(60, None), (None, "n"), (70, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(65)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    got = labels.training_texts(docs, lab, "quality", 20).collect()
+    assert len(got) <= 20 and len({r.doc_id for r in got}) == len(got)
+    fewer = labels.training_texts(docs, lab, "quality", 20, most_bytes=5).collect()
+    assert {r.doc_id for r in fewer} < {r.doc_id for r in got} and sum(len(r.text or "") for r in fewer) <= 5
+    assert all(r.text == min((t for i, t in rows if i == r.doc_id and t), default=None) for r in got)
+
+
 def test_attention_gradient():
     g = np.random.default_rng(0)
     x = g.normal(size=(9, quality_classifier.N_FEATURES))
