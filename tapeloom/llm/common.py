@@ -39,6 +39,34 @@ def sha_of(column: str = "text") -> Column:
     return F.unhex(F.sha2(text_of(column), 256))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores in front where ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def every(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, also those with dots in their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def as_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one column ``row``: whatever their names are, none clashes with a column beside it."""
+    return F.struct(*every(df)).alias("row")
+
+
+def from_row(df: DataFrame, columns: list[str], instead: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of the input again, some of them replaced by those of ``instead``."""
+    instead = instead or {}
+    return df.select(*[instead.get(c, F.col("row").getField(c)).alias(c) for c in columns])
+
+
 #: Marks of rows that are broadcast at most; more are joined by shuffle.
 BROADCAST_MARKS = 1_000_000
 
@@ -50,20 +78,19 @@ def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     with one text are in one component. Among rows of one doc_id the smallest
     digest stays; rows that repeat both cannot be told apart, one of them stays.
     """
-    columns = docs.columns
     keys = groups.groupBy("component", "doc_id", "sha").agg(F.count("*").alias("n"))
     first = keys.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
     keys = keys.join(first, "component")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
-    marks = cut(keys.where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), stays.alias("_again")))
+    marks = cut(keys.where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("mark_id"), F.col("sha").alias("mark_sha"), stays.alias("again")))
     near = F.broadcast if marks.count() <= BROADCAST_MARKS else (lambda x: x)
-    rows = docs.withColumn("_text_sha", sha_of())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))
+    rows = docs.select(as_row(docs), F.col("doc_id").cast("long").alias("id"), sha_of().alias("sha"))
+    same = F.col("id").eqNullSafe(F.col("mark_id")) & (F.col("sha") == F.col("mark_sha"))
     rest = rows.join(near(marks), same, "left_anti")
-    again = marks.where("_again")
+    again = marks.where("again")
     if not again.isEmpty():
-        rest = rest.unionByName(rows.join(near(again), same, "left_semi").dropDuplicates(["doc_id", "_text_sha"]))
-    return rest.select(columns)
+        rest = rest.unionByName(rows.join(near(again), same, "left_semi").dropDuplicates(["id", "sha"]))
+    return from_row(rest, docs.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -71,8 +98,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has long columns (a, b). Alternates large-star and small-star
     rounds until the edge set is a forest of stars, in about log(n) rounds.
-    Every round is joins and partial aggregates on the edge table; a hub's
-    edges are never gathered in one place, and each round is checkpointed.
+    Every round is joins and partial aggregates on the edge table, and each
+    round is checkpointed. The joins take a hub's edges to one key; adaptive
+    execution splits such a partition, as no step collects them in a group.
     """
     pair = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     stars, before = cut(pair), None

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import table, text_of
+from tapeloom.llm.common import as_row, from_row, table, text_of
 from tapeloom.storage import cut, remove, shared_dir
 
 #: Hits whose digests go to every executor at most (some 50 bytes each); more are joined by shuffle.
@@ -122,24 +122,23 @@ def drop_exact_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
     Edge cases are as in :func:`exact_groups`. Rows without a copy are never
     shuffled while the hits are few enough to broadcast.
     """
-    columns = docs.columns
     folder = new_folder(docs.sparkSession)
-    groups = cut(exact_groups(docs, keep, folder=folder).where("group_size > 1").withColumn("_sha", F.unhex("text_sha256")))
+    groups = cut(exact_groups(docs, keep, folder=folder).where("group_size > 1").withColumn("sha", F.unhex("text_sha256")))
     remove(docs.sparkSession, folder)  # nothing reads the index any more
-    drops = groups.where("NOT kept").select(F.col("doc_id").alias("_id"), "_sha").distinct()
-    again = groups.where("kept").groupBy("doc_id", "_sha").count().where("count > 1")
-    again = again.select(F.col("doc_id").alias("_id"), "_sha", F.lit(True).alias("_again"))
-    marks = cut(drops.withColumn("_again", F.lit(False)).unionByName(again))
+    drops = groups.where("NOT kept").select(F.col("doc_id").alias("mark_id"), F.col("sha").alias("mark_sha")).distinct()
+    again = groups.where("kept").groupBy("doc_id", "sha").count().where("count > 1")
+    again = again.select(F.col("doc_id").alias("mark_id"), F.col("sha").alias("mark_sha"), F.lit(True).alias("again"))
+    marks = cut(drops.withColumn("again", F.lit(False)).unionByName(again))
     few = marks.count() <= FILTER_MAX_HITS
-    rows = docs.withColumn("_text_sha", F.unhex(F.sha2(text_of(), 256)))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))
+    rows = docs.select(as_row(docs), F.col("doc_id").alias("id"), F.unhex(F.sha2(text_of(), 256)).alias("sha"))
+    same = F.col("id").eqNullSafe(F.col("mark_id")) & (F.col("sha") == F.col("mark_sha"))
     near = F.broadcast if few else (lambda x: x)
     rest = rows.join(near(marks), same, "left_anti")
     if not again.isEmpty():
         # rows that repeat doc_id and text: one of each stays
-        repeated = rows.join(near(marks.where("_again")), same, "left_semi")
-        rest = rest.unionByName(repeated.dropDuplicates(["doc_id", "_text_sha"]))
-    return rest.select(columns)
+        repeated = rows.join(near(marks.where("again")), same, "left_semi")
+        rest = rest.unionByName(repeated.dropDuplicates(["id", "sha"]))
+    return from_row(rest, docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import GAP, WORD, table, text_of
+from tapeloom.llm.common import GAP, WORD, every, fresh, table, text_of
 
 #: Phrases of site furniture and licence lines, in lower case.
 BOILERPLATE = (
@@ -81,20 +81,21 @@ def with_repeated_words(d: DataFrame, words: str, name: str) -> DataFrame:
     their positions, so that n words cost n log n whatever they repeat.
     """
     w = F.col(words)
+    hashed, ordered, many = fresh(d, "_h", "_s", "_twice")
     hashes = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    d = d.withColumn("_h", F.slice(hashes, 1, F.greatest(F.size(w) - 2, F.lit(0))))
-    h = F.col("_h")
-    d = d.withColumn("_s", F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(h)))
-    s = F.col("_s")
+    d = d.withColumn(hashed, F.slice(hashes, 1, F.greatest(F.size(w) - 2, F.lit(0))))
+    h = F.col(hashed)
+    d = d.withColumn(ordered, F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(h)))
+    s = F.col(ordered)
     # a value that equals the next one but not the one before: each repeated window once
     firsts = F.filter(s, lambda x, k: (x == F.get(s, k + 1)) & ((k == 0) | (F.get(s, k - 1) != x)))
-    d = d.withColumn("_twice", firsts)
-    twice = F.col("_twice")
+    d = d.withColumn(many, firsts)
+    twice = F.col(many)
     spots = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(twice, x), i)), lambda p: p.isNotNull())
     pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     at = F.when(F.size(twice) <= FEW_WINDOWS, spots).otherwise(_bind(pairs, lambda p: F.sort_array(_twins(p))))
     found = F.when(s.isNull(), F.lit(0).cast("long")).otherwise(_bind(at, _covered))
-    return d.withColumn(name, _computed_here(found)).drop("_h", "_s", "_twice")
+    return d.withColumn(name, _computed_here(found)).drop(hashed, ordered, many)
 
 
 def _twins(pairs: Column) -> Column:
@@ -122,21 +123,22 @@ def rule_signals(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     are independent, so copies and repeated rows each get the same verdict.
     Input columns with the names of the result are replaced.
     """
-    t = F.col("_t")
-    d = docs.withColumn("_t", text_of()).withColumn("_w", word_list(t))
-    d = d.withColumn("n_words", F.size("_w").cast("long"))
+    text, words, lines = fresh(docs, "_t", "_w", "_spoken")
+    t = F.col(text)
+    d = docs.withColumn(text, text_of()).withColumn(words, word_list(t))
+    d = d.withColumn("n_words", F.size(words).cast("long"))
     d = d.withColumn("word_chars", (F.length(t) - _count(t, r"[\x20\x09-\x0D]")).cast("long"))
     d = d.withColumn("n_symbols", _count(t, r"[#*$%&|<>]").cast("long"))
-    d = with_repeated_words(d, "_w", "n_repeat_words").drop("_w")
-    d = d.withColumn("_spoken", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    spoken = F.col("_spoken")
+    d = with_repeated_words(d, words, "n_repeat_words").drop(words)
+    d = d.withColumn(lines, F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    spoken = F.col(lines)
     d = d.withColumn("n_dup_lines", (F.size(spoken) - F.size(F.array_distinct(spoken))).cast("long"))
     d = d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     stay = F.filter(spoken, lambda x: ~line_fails(x, rules))
     left = F.length(F.regexp_replace(F.array_join(stay, ""), GAP, "")).cast("long")
     d = d.withColumn("kept_chars", F.when(t.rlike(SUSPECT), left).otherwise(F.col("word_chars")))
     enough = F.col("kept_chars") >= rules.min_kept_share * F.col("word_chars")
-    return d.withColumn("kept", _computed_here(~F.col("base_failed") & enough)).drop("_t", "_spoken")
+    return d.withColumn("kept", _computed_here(~F.col("base_failed") & enough)).drop(text, lines)
 
 
 def clean_lines(text: Column, rules: LineRules = LineRules()) -> Column:
@@ -147,11 +149,21 @@ def clean_lines(text: Column, rules: LineRules = LineRules()) -> Column:
 def without_failing_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """``docs`` with cleaned texts, and n_chars, if there, of those that changed; null texts stay null."""
     suspect = F.col("text").rlike(SUSPECT)
-    out = docs.withColumn("_clean", _computed_here(F.when(suspect, clean_lines(F.col("text"), rules)).otherwise(F.col("text"))))
+    (clean,) = fresh(docs, "_clean")
+    out = docs.withColumn(clean, _computed_here(F.when(suspect, clean_lines(F.col("text"), rules)).otherwise(F.col("text"))))
     if "n_chars" in docs.columns:
-        same = F.col("_clean").eqNullSafe(F.col("text"))
-        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("_clean").cast("long")))
-    return out.withColumn("text", F.col("_clean")).select(docs.columns)
+        same = F.col(clean).eqNullSafe(F.col("text"))
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length(clean).cast("long")))
+    return out.withColumn("text", F.col(clean)).select(every(docs))
+
+
+def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """The documents that the rules keep, with the columns of ``docs``, without their failing lines.
+
+    Null and empty texts are rejected, copies and repeated rows each judged
+    alike; an empty table gives an empty result.
+    """
+    return without_failing_lines(rule_signals(docs, rules).where("kept").select(every(docs)), rules)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

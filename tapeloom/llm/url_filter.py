@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import table
+from tapeloom.llm.common import fresh, table
 from tapeloom.storage import cut
 
 #: (verdict, host and path prefix); a rule holds for its host and all subdomains.
@@ -24,8 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A block is eight words of 32 bits; every listed URL sets one bit in each word.
 WORDS = 8
 BITS_PER_URL = 16
-#: Blocks are broadcast up to this many (32 bytes each); larger filters are joined by shuffle.
-MAX_BROADCAST_BLOCKS = 1 << 18
+#: Blocks are broadcast up to this many (32 bytes each, some 16 million listed URLs); larger filters are joined by shuffle.
+MAX_BROADCAST_BLOCKS = 1 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -64,9 +64,11 @@ def _block(key: Column, blocks: int) -> Column:
 
 
 def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
-    """One row for each block in use: its number and its words, from the column ``key``."""
-    bits = keys.select(_block(F.col("key"), blocks).alias("_block"), *[_bit(F.col("key"), w).alias(f"_w{w}") for w in range(WORDS)])
-    return bits.groupBy("_block").agg(*[F.bit_or(f"_w{w}").alias(f"_w{w}") for w in range(WORDS)])
+    """One row for each block in use: its number and its words, two to a long, from the column ``key``."""
+    high = lambda w: F.call_function("shiftleft", _bit(F.col("key"), w), F.lit(32))
+    pairs = [_bit(F.col("key"), w).bitwiseOR(high(w + 1)).alias(f"pair{w // 2}") for w in range(0, WORDS, 2)]
+    bits = keys.select(_block(F.col("key"), blocks).alias("block"), *pairs)
+    return bits.groupBy("block").agg(*[F.bit_or(f"pair{k}").alias(f"pair{k}") for k in range(WORDS // 2)])
 
 
 def listed_hits(pages: DataFrame, listed: DataFrame) -> DataFrame:
@@ -74,19 +76,21 @@ def listed_hits(pages: DataFrame, listed: DataFrame) -> DataFrame:
 
     ``listed`` has a column key; repeats and nulls in it do no harm. The filter
     has ``BITS_PER_URL`` bits for each distinct listed URL. Only possible hits
-    take part in the exact join; all other rows bypass it.
+    take part in the exact join; all other rows bypass it (as nulls of an outer
+    join they would all go to one task).
     """
     listed = cut(listed.where("key IS NOT NULL").select("key").distinct())
     blocks = max(1, math.ceil(listed.count() * BITS_PER_URL / (32 * WORDS)))
     near = F.broadcast if blocks <= MAX_BROADCAST_BLOCKS else (lambda x: x)
-    probe = pages.drop("listed", "possible_hit").withColumn("_block", _block(F.col("key"), blocks))
-    probe = probe.join(near(bloom_blocks(listed, blocks)), "_block", "left")
+    pages = pages.drop("listed", "possible_hit")
+    names = fresh(pages, "_block", *[f"_pair{k}" for k in range(WORDS // 2)])
+    probe = pages.withColumn(names[0], _block(F.col("key"), blocks))
+    probe = probe.join(near(bloom_blocks(listed, blocks).toDF(*names)), names[0], "left")
     every = F.lit(True)
-    for w in range(WORDS):
-        bit = _bit(F.col("key"), w)
-        every = every & (F.coalesce(F.col(f"_w{w}"), F.lit(0)).bitwiseAND(bit) == bit)
-    probe = probe.withColumn("possible_hit", every & F.col("key").isNotNull()).drop("_block", *[f"_w{w}" for w in range(WORDS)])
-    # only possible hits carry a key into the join; the others' nulls are never shuffled by value
+    for w in range(0, WORDS, 2):
+        bits = _bit(F.col("key"), w).bitwiseOR(F.call_function("shiftleft", _bit(F.col("key"), w + 1), F.lit(32)))
+        every = every & (F.coalesce(F.col(names[1 + w // 2]), F.lit(0)).bitwiseAND(bits) == bits)
+    probe = probe.withColumn("possible_hit", every & F.col("key").isNotNull()).drop(*names)
     tested = probe.where("possible_hit").join(listed.withColumn("listed", F.lit(True)), "key", "left")
     tested = tested.withColumn("listed", F.coalesce("listed", F.lit(False)))
     return tested.unionByName(probe.where("NOT possible_hit").withColumn("listed", F.lit(False)))
