@@ -65,6 +65,9 @@ def compiled_kinds():
     return [(k, re.compile(_SCAN.get(k.name, k.pattern))) for k in KINDS]
 
 
+#: A value with more copies is joined by broadcast; there are never more of these than MAX_HOT.
+HOT_COPIES, MAX_HOT = 10_000, 100_000
+
 FOUND = "doc_id long, repo string, owner string, row long, spans array<struct<kind:string,start:int,end:int,digest:binary,entropy:double>>"
 
 
@@ -114,6 +117,23 @@ def ownership(found: DataFrame, rules: Ownership = Ownership()) -> DataFrame:
     return counts.withColumn("verdict", verdict)
 
 
+def with_counts(each: DataFrame, counts: DataFrame, hot_copies: int = HOT_COPIES) -> DataFrame:
+    """``each`` with the counts of its digest; values that very many rows hold never meet in one task.
+
+    A value is hot if it has more than ``hot_copies`` copies and more than one
+    in ``MAX_HOT`` of all, so there are fewer hot values than ``MAX_HOT``
+    whatever the corpus; these are broadcast, the rest is joined by shuffle.
+    """
+    counts = cut(counts)
+    copies = counts.agg(F.sum("copies")).first()[0] or 0
+    is_hot = F.col("copies") > max(hot_copies, copies // MAX_HOT)
+    hot = counts.where(is_hot)
+    if hot.isEmpty():
+        return each.join(counts, "digest")
+    rest = each.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(counts.where(~is_hot), "digest")
+    return each.join(F.broadcast(hot), "digest").unionByName(rest)
+
+
 def find_secrets(docs: DataFrame, rules: Ownership = Ownership()) -> DataFrame:
     """One row per row of ``docs``: doc_id and spans (kind, start, end, owners, repos, copies, verdict).
 
@@ -124,9 +144,8 @@ def find_secrets(docs: DataFrame, rules: Ownership = Ownership()) -> DataFrame:
     not ``owners``. An empty table gives no rows.
     """
     found = cut(candidates(docs))
-    counts = ownership(found, rules)
     each = found.where(F.size("spans") > 0).select("row", "doc_id", F.explode("spans").alias("s"))
-    each = each.withColumn("digest", F.col("s.digest")).join(counts, "digest")
+    each = with_counts(each.withColumn("digest", F.col("s.digest")), ownership(found, rules))
     base = F.col("s.kind").isin(*[k.name for k in KINDS if k.base])
     order = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k.name), F.lit(i))]), F.col("s.kind"))
     span = F.struct(F.col("s.start").alias("start"), order.alias("order"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), base.alias("base"), "owners", "repos", "copies", "verdict")
