@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import WORD, components, sha_of, table, text_of
+from tapeloom.llm.common import WORD, as_row, components, from_row, sha_of, table, text_of
 from tapeloom.storage import cut, numbered
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 17
 
-#: Documents in one bucket of the seeded order, on average; one bucket per pattern is sorted.
-BUCKET_DOCS = 1_000
+#: Documents of a pattern that are sorted where its last part stops, on average and whatever the corpus.
+STOP_DOCS = 128
 #: Patterns that are broadcast to the documents at most; more are joined by shuffle.
 BROADCAST_PATTERNS = 50_000
 
@@ -164,27 +164,38 @@ def mix(docs: DataFrame, members: str = "members", weights=WEIGHTS, repeats: int
     whole = F.when(F.col("supply") > 0, F.floor(F.col("flow") / F.col("supply"))).otherwise(0).cast("long")
     plans = plans.withColumn("whole", whole).withColumn("rest", F.col("flow") - F.col("whole") * F.col("supply"))
     n_patterns, n = plans.agg(F.count("*"), F.max("n")).first()
-    buckets = 1 << max(0, ((n or 0) // BUCKET_DOCS).bit_length())
-    # where in the seeded order each pattern stops: sums by bucket, then one bucket is sorted
-    slim = slim.withColumn("_bucket", F.pmod("_h", F.lit(buckets).cast("long")))
-    by_bucket = slim.groupBy("pattern", "_bucket").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(W.partitionBy("pattern").orderBy("_bucket"))
-    by_bucket = by_bucket.withColumn("before", upto - F.col("words")).join(plans.select("pattern", "rest"), "pattern")
-    stops = by_bucket.where("before < rest AND rest <= before + words").select("pattern", F.col("_bucket").alias("_stop"), "before")
-    plans = plans.join(stops, "pattern", "left").select("pattern", "source_size", "target", "whole", "rest", "_stop", "before")
-    plans = cut(plans)
     near = F.broadcast if n_patterns <= BROADCAST_PATTERNS else (lambda x: x)
-    rows = slim.join(near(plans), "pattern")
-    at_stop = F.col("_bucket").eqNullSafe(F.col("_stop"))
-    sure = rows.where(~at_stop).withColumn("extra", F.when(F.col("_bucket") < F.col("_stop"), F.col("size")).otherwise(0))
+    # where in the seeded order each pattern stops: sums by coarse bucket, in the one that it
+    # stops in sums by fine bucket, and one of these is sorted; each has the root of n buckets
+    bits = max(0, (n or 0) // STOP_DOCS).bit_length()
+    fine = 1 << bits // 2
+    place = F.pmod("_h", F.lit(1 << bits).cast("long"))
+    slim = slim.withColumns({"coarse": F.floor(place / fine), "fine": place % fine})
+    plans = _stops(slim, plans.withColumn("need", F.col("rest")), "coarse")
+    inside = slim.join(near(plans.select("pattern", F.col("coarse_stop").alias("coarse"))), ["pattern", "coarse"])
+    plans = _stops(inside, plans, "fine").select("pattern", "source_size", "target", "whole", "need", "coarse_stop", "fine_stop")
+    rows = slim.join(near(cut(plans)), "pattern")
+    here = F.col("coarse").eqNullSafe(F.col("coarse_stop"))
+    at_stop = here & F.col("fine").eqNullSafe(F.col("fine_stop"))
+    before = (F.col("coarse") < F.col("coarse_stop")) | (here & (F.col("fine") < F.col("fine_stop")))
+    sure = rows.where(~at_stop).withColumn("extra", F.when(before, F.col("size")).otherwise(0))
     order = W.partitionBy("pattern").orderBy("_h", "doc_id", "size", "sha").rowsBetween(W.unboundedPreceding, -1)
-    stop = rows.where(at_stop)
-    need = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(order), F.lit(0))
-    stop = stop.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least("size", need)))
+    left = F.col("need") - F.coalesce(F.sum("size").over(order), F.lit(0))
+    stop = rows.where(at_stop).withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least("size", left)))
     taken = (F.col("whole") * F.col("size") + F.col("extra")).cast("long")
     return sure.unionByName(stop).select("doc_id", "size", "members", "source_size", "target", taken.alias("taken"), "sha")
 
 
+def _stops(slim: DataFrame, plans: DataFrame, bucket: str) -> DataFrame:
+    """``plans`` plus the bucket in which each pattern's ``need`` runs out; need becomes what that bucket gives."""
+    sums = slim.groupBy("pattern", bucket).agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(W.partitionBy("pattern").orderBy(bucket))
+    sums = sums.withColumn("upto", upto).join(plans.select("pattern", "need"), "pattern")
+    stop = sums.where("upto - words < need AND need <= upto").select("pattern", F.col(bucket).alias(f"{bucket}_stop"), (F.col("upto") - F.col("words")).alias("before"))
+    plans = plans.join(stop, "pattern", "left")
+    return cut(plans.withColumn("need", F.col("need") - F.coalesce("before", F.lit(0))).drop("before"))
+
+
 def draw(docs: DataFrame, mixed: DataFrame, members: Column | None = None) -> DataFrame:
     """The documents that the mix takes: each as often as it is taken, the last time cut to its words.
 
@@ -197,30 +208,30 @@ def draw(docs: DataFrame, mixed: DataFrame, members: Column | None = None) -> Da
     if members is None:
         members = F.array("source") if "source" in columns else None
     pattern = F.lit("") if members is None else pattern_of(member_set(members))
-    takes = mixed.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), (F.lit("") if members is None else pattern_of("members")).alias("_of"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    takes = mixed.select(F.col("doc_id").alias("take_id"), F.col("sha").alias("take_sha"), (F.lit("") if members is None else pattern_of("members")).alias("take_of"), "size", "taken")
     takes = cut(takes)
-    rows = docs.withColumns({"_row_sha": sha_of(), "_row_of": pattern})
-    key, row_key = ["_id", "_sha", "_of"], ["doc_id", "_row_sha", "_row_of"]
-    again = cut(takes.groupBy(key).count().where("count > 1").drop("count").toDF("_a", "_b", "_c"))
+    rows = docs.select(as_row(docs), F.col("doc_id").alias("id"), sha_of().alias("sha"), pattern.alias("of"))
+    key, row_key, marks = (["take_id", "take_sha", "take_of"], ["id", "sha", "of"], ["again_id", "again_sha", "again_of"])
+    again = cut(takes.groupBy(key).count().where("count > 1").drop("count").toDF(*marks))
     same = lambda x, y: F.col(x[0]).eqNullSafe(F.col(y[0])) & (F.col(x[1]) == F.col(y[1])) & (F.col(x[2]) == F.col(y[2]))
     if again.isEmpty():
-        rows = rows.join(takes.where("_taken > 0"), same(row_key, key))
+        rows = rows.join(takes.where("taken > 0"), same(row_key, key))
     else:
-        marks = ["_a", "_b", "_c"]
-        once = rows.join(again, same(row_key, marks), "left_anti").join(takes.where("_taken > 0"), same(row_key, key))
-        turn = lambda x, by: x.join(again, same(by, marks), "left_semi").withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy(F.lit(0))))
-        own = turn(takes, key).withColumnRenamed("_k", "_n")
-        several = turn(rows, row_key).join(own, same(row_key, key) & (F.col("_k") == F.col("_n"))).where("_taken > 0")
-        rows = once.unionByName(several.drop("_k", "_n"))
-    turns = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    rows = rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), turns)))
-    left = (F.col("_taken") - (F.col("_turn") - 1) * F.col("_size")).cast("int")
-    head = F.array_join(F.slice(F.split(F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")), "(?=[\x20\x09-\x0D])(?<![\x20\x09-\x0D])"), 1, F.greatest(left, F.lit(1))), "")
-    text = F.when(left < F.col("_size"), head).otherwise(F.col("text"))
-    out = rows.withColumn("text", text)
+        once = rows.join(again, same(row_key, marks), "left_anti").join(takes.where("taken > 0"), same(row_key, key))
+        turn = lambda x, by: x.join(again, same(by, marks), "left_semi").withColumn("k", F.row_number().over(W.partitionBy(by).orderBy(F.lit(0))))
+        own = turn(takes, key).withColumnRenamed("k", "n")
+        several = turn(rows, row_key).join(own, same(row_key, key) & (F.col("k") == F.col("n"))).where("taken > 0")
+        rows = once.unionByName(several.drop("k", "n"))
+    turns = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(1), turns)))
+    left = (F.col("taken") - (F.col("turn") - 1) * F.col("size")).cast("int")
+    whole, part = F.col("row.text"), left < F.col("size")
+    head = F.array_join(F.slice(F.split(F.btrim(whole, F.lit(" \t\n\x0b\x0c\r")), r"(?=[\x20\x09-\x0D])(?<![\x20\x09-\x0D])"), 1, F.greatest(left, F.lit(1))), "")
+    rows = rows.withColumn("given", F.when(part, head).otherwise(whole))
+    instead = {"text": F.col("given")}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(left < F.col("_size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(columns)
+        instead["n_chars"] = F.when(part, F.length("given").cast("long")).otherwise(F.col("row.n_chars"))
+    return from_row(rows, columns, instead)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
