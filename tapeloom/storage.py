@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests on one machine).
+#: Used only on one machine, where neither the session nor its context names a folder (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    """The folder that driver and executors share.
+
+    It comes from ``spark.checkpoint.dir``, else from the context's checkpoint
+    directory. Without either, a cluster is an error: a folder of each machine
+    would lose tables.
+    """
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = LOCAL_CHECKPOINTS
+    if given.isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
