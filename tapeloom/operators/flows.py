@@ -140,6 +140,28 @@ def concentration(net: DataFrame) -> DataFrame:
     return out.withColumn("herding", F.when(F.col("net") >= 0, buyers).otherwise(1 - buyers) * 100)
 
 
+def interbroker(rows: DataFrame, active_days: int | Column) -> DataFrame:
+    """Conviction, share, persistence and herding of broker-ticker rows with net, total and streak.
+
+    conviction: |net| of the row's turnover. cr_pct: |net| of the ticker's sum
+    of |net|. persistence: |streak| of the active days. herd_pct: brokers of
+    the ticker on the row's side; 0 for a net of 0 or a single broker.
+    """
+    t = W.partitionBy("ticker")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    net = F.col("net")
+    n, buyers, sellers = F.count("*").over(t), F.count_if(net > 0).over(t), F.count_if(net < 0).over(t)
+    days = active_days if isinstance(active_days, Column) else F.lit(active_days)
+    return rows.withColumns(
+        {
+            "conviction": zero(ratio(F.abs(net), F.col("total"))),
+            "cr_pct": zero(ratio(F.abs(net), F.sum(F.abs(net)).over(t))),
+            "persistence": zero(ratio(F.abs(F.coalesce("streak", F.lit(0))), days)),
+            "herd_pct": F.when((n < 2) | (net == 0), 0.0).otherwise(F.when(net > 0, buyers).otherwise(sellers) / n),
+        }
+    )
+
+
 def cross_section_z(net: DataFrame) -> DataFrame:
     """z of net within the broker (two values at least) and across the ticker's brokers (three at least)."""
     from tapeloom.functions.scalars import zscore

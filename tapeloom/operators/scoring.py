@@ -58,10 +58,13 @@ def hybrid_daily(d: DataFrame) -> DataFrame:
     """Daily hybrid score; needs delta_pct, price_pct, ctx_found, ctx_state, ctx_z (null context: neutral).
 
     70 % delta and 30 % context, weighed by the price move, times the
-    divergence factor; rows without volume, open or close are left out.
+    divergence factor; rows without volume or open have no percentages and are
+    left out, and so are those whose ``close`` (if there is one) is 0.
     """
     delta, price = F.col("delta_pct"), F.col("price_pct")
     d = d.where("delta_pct IS NOT NULL AND price_pct IS NOT NULL")
+    if "close" in d.columns:
+        d = d.where("close <> 0")
     state, z = F.coalesce("ctx_state", F.lit("NEUTRAL")), F.coalesce("ctx_z", F.lit(0.0))
     base = 0.3 * unit(z, -3, 3) + 0.7 * unit(delta, -100, 100)
     base = F.when(price < -4, base * 0.5).when(price.between(-1, 2), base * 1.1).otherwise(base)
@@ -107,7 +110,7 @@ def flow_score(effort: Column, ngr: Column, state: Column) -> Column:
 
 def _centred(x: Column, by: list[str], gate: bool = True) -> Column:
     """Percentile scaled to -1..1; of a value that is not positive, at most 0."""
-    p = clamp(average_rank(x, by) * 2 - 1, -1.0, 1.0)
+    p = clamp(average_rank(x, by) * 2 - 1, -1.0, 1.0)  # 0 for a missing value
     return F.when(x.isNull(), 0.0).when(x <= 0, F.least(F.lit(0.0), p)).otherwise(p) if gate else p
 
 
@@ -137,26 +140,87 @@ def probability(d: DataFrame, parts: list, by: list[str], liquidity: str, trend:
     return d.withColumn(f"{name}_label", label)
 
 
+def with_freshness(d: DataFrame, name: str, fresh: Column) -> DataFrame:
+    """Score and raw null and label NA where the inputs of ``name`` are missing or too old."""
+    fresh = F.coalesce(fresh, F.lit(False))
+    keep = lambda c: F.when(fresh, F.col(c))
+    return d.withColumns({name: keep(name), f"{name}_raw": keep(f"{name}_raw"), f"{name}_label": F.coalesce(keep(f"{name}_label"), F.lit("NA"))})
+
+
+#: Inputs of the two-day and the five-day probability: (weight, [(weight, column, gated by its sign)]).
+TWO_DAYS = [
+    (0.45, [(0.7, "sm2", True), (0.2, "sm5", True), (0.1, "sm10", True)]),
+    (0.35, [(0.25, "order_mom_pct", True), (0.25, "order_delta_pct", True), (0.25, "order_absorb", False), (0.25, "order_cvd", True)]),
+    (0.20, [(0.7, "eff2", False), (0.3, "eff5", False)]),
+]
+FIVE_DAYS = [
+    (0.35, [(0.5, "sm5", True), (0.3, "sm10", True), (0.2, "sm20", True)]),
+    (0.20, [(0.6, "flow5", False), (0.4, "flow10", False)]),
+    (0.15, [(0.6, "eff5", False), (0.4, "eff10", False)]),
+    (0.15, [(0.7, "vwap5", False), (0.3, "vwap10", False)]),
+    (0.15, [(0.6, "cvd_pct_5d", True), (0.4, "cvd_pct_10d", True)]),
+]
+
+
+def two_day_probability(d: DataFrame, by: list[str], fresh: Column) -> DataFrame:
+    """TOM2: needs netv, state and the columns of TWO_DAYS; ``fresh`` says whether the order flow is recent.
+
+    Momentum and delta must be there, and one of absorption, running delta
+    and order_net_value (if there).
+    """
+    depth = [F.col(c).isNotNull() for c in ("order_absorb", "order_cvd", "order_net_value") if c in d.columns]
+    there = F.col("order_mom_pct").isNotNull() & F.col("order_delta_pct").isNotNull() & F.greatest(*depth, F.lit(False))
+    return with_freshness(probability(d, TWO_DAYS, by, "netv", name="tom2"), "tom2", fresh & there)
+
+
+def five_day_probability(d: DataFrame, by: list[str], fresh: Column) -> DataFrame:
+    """SWG5: needs netv, state, vwap_up and the columns of FIVE_DAYS; a rising VWAP adds 0.05."""
+    there = F.lit(True)
+    for c in ("sm5", "sm10", "sm20", "eff5", "eff10", "vwap5", "vwap10"):
+        there = there & F.col(c).isNotNull()
+    trend = F.when(F.col("vwap_up"), 0.05).otherwise(0.0)
+    return with_freshness(probability(d, FIVE_DAYS, by, "netv", trend, name="swg5"), "swg5", fresh & there)
+
+
 def quality_issues(d: DataFrame) -> DataFrame:
-    """Issues and severity of a broker-flow row: no price, an empty side, values that do not add up, price jumps."""
-    jump = F.abs(ratio(F.col("price") - F.col("prev_price"), F.col("prev_price"))) > 0.35
+    """Issues and severity of a broker-flow row.
+
+    Whatever makes the row incomplete is critical: no price, an empty side,
+    value without brokers, trades (``freq``, if there) without value. A price
+    jump of more than 35 % alone is a warning. Missing numbers count as 0.
+    """
+    n = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in d.columns else F.lit(0.0)
+    jump = F.abs(ratio(n("price") - n("prev_price"), n("prev_price"))) > 0.35
     tests = [
-        ("NO_PRICE", F.coalesce(F.col("price") <= 0, F.lit(True))),
-        ("NO_BUYERS", F.col("buyers") == 0),
-        ("NO_SELLERS", F.col("sellers") == 0),
-        ("VALUE_WITHOUT_BROKERS", (F.col("total_value") > 0) & (F.col("buyers") + F.col("sellers") == 0)),
-        ("PRICE_JUMP", F.coalesce(jump, F.lit(False))),
+        ("NO_PRICE", n("price") <= 0),
+        ("NO_BUYERS", n("buyers") == 0),
+        ("NO_SELLERS", n("sellers") == 0),
+        ("VALUE_WITHOUT_BROKERS", (n("total_value") > 0) & (n("buyers") + n("sellers") == 0)),
+        ("FREQUENCY_WITHOUT_VALUE", (n("freq") > 0) & (n("total_value") <= 0)),
+        ("PRICE_JUMP", (n("price") > 0) & (n("prev_price") > 0) & F.coalesce(jump, F.lit(False))),
     ]
-    issues = F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests]))
-    d = d.withColumn("issues", issues)
-    critical = F.arrays_overlap("issues", F.array(F.lit("NO_PRICE"), F.lit("VALUE_WITHOUT_BROKERS")))
+    d = d.withColumn("issues", F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests])))
+    critical = F.size(F.array_except("issues", F.array(F.lit("PRICE_JUMP")))) > 0
     return d.withColumn("severity", F.when(critical, "CRITICAL").when(F.size("issues") > 0, "WARNING").otherwise("OK"))
 
 
-def completeness(now: Column, expected: int = 84, stale_minutes: int = 20) -> Column:
-    """State of a day row (candles, last_bucket, date): none, sparse, cut short, stale or complete."""
-    sparse = F.col("candles") < max(expected // 2, 5)
-    old = F.col("date") < F.to_date(now)
-    late = (F.hour("last_bucket") * 60 + F.minute("last_bucket")) < 8 * 60 + 50
-    stale = (F.unix_timestamp(now) - F.unix_timestamp(F.col("last_bucket").cast("timestamp"))) > stale_minutes * 60
-    return first_match([(F.coalesce(F.col("candles"), F.lit(0)) == 0, "NO_DATA"), (sparse, "SPARSE_DATA"), (old & late, "PAST_DAY_INCOMPLETE"), (~old & stale, "TODAY_STALE")], "COMPLETE")
+def session_completeness(now: Column, opens: int, closes: int, width: int = 5, stale_minutes: int = 20, early: int = 10) -> Column:
+    """State of a day row with date, traded (buckets with volume) and last_bucket, seen at ``now``.
+
+    A session lasts from minute ``opens`` to ``closes`` of the day, both whole
+    hours, in buckets of ``width`` minutes. A past day should have half of all
+    buckets and end at most ``early`` minutes before the close; today should
+    have half of those up to now, and inside the session a bucket in the last
+    ``stale_minutes``. Nothing is expected of today before the open or on a
+    weekend. At least five buckets are expected where any are.
+    """
+    minute = F.hour(now) * 60 + F.minute(now)
+    today, weekend = F.col("date") == F.to_date(now), F.dayofweek(now).isin(1, 7)
+    elapsed = F.least(minute, F.lit(closes)) - opens
+    expected = F.when(~today, (closes - opens) // width).when(~weekend & (minute >= opens), F.floor(elapsed / width)).otherwise(0)
+    traded = F.coalesce(F.col("traded"), F.lit(0))
+    sparse = (expected > 0) & (traded < F.greatest(F.floor(expected / 2), F.lit(5)))
+    last = F.hour("last_bucket") * 60 + F.minute("last_bucket")
+    age = F.unix_timestamp(now) - F.unix_timestamp(F.col("last_bucket").cast("timestamp"))
+    stale = today & ~weekend & (minute >= opens) & (minute < closes) & (age > stale_minutes * 60)
+    return first_match([(traded == 0, "NO_DATA"), (sparse, "SPARSE_DATA"), (~today & (last < closes - early), "PAST_DAY_INCOMPLETE"), (stale, "TODAY_STALE")], "COMPLETE")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,6 +58,28 @@ def detail_filter(rows: DataFrame, *, net=(None, None), buy=(None, None), sell=(
     return out.where(F.col("days") >= days) if days else out
 
 
+def is_ticker(x: Column) -> Column:
+    """Two to four capital letters or digits."""
+    return F.coalesce(x.rlike("^[A-Z0-9]{2,4}$"), F.lit(False))
+
+
+def symbol_list(text: str, most: int = 120) -> list[str]:
+    """Symbols of a list by comma, in capitals: two to six letters each, without repeats, at most ``most``."""
+    parts = (x.strip().upper() for x in text.split(","))
+    return list(dict.fromkeys(x for x in parts if re.fullmatch("[A-Z]{2,6}", x)))[:most]
+
+
+def up_to_hour(bucket: str, hour: int) -> Column:
+    """Before the end of the hour; hour 23 is no limit."""
+    return F.lit(True) if hour >= 23 else F.hour(bucket) <= hour
+
+
+def growth_by_precedence(d: DataFrame, sources: list[str], close: str = "close") -> DataFrame:
+    """The previous close from the first source that has one above 0, and the growth to ``close`` in per cent."""
+    previous = F.coalesce(*[positive(F.col(c)) for c in sources])
+    return d.withColumn("previous", previous).withColumn("growth", ratio((F.col(close) - F.col("previous")) * 100, F.col("previous")))
+
+
 def at_least(column: str, threshold: float) -> Column:
     """A missing value counts as minus infinity."""
     return F.coalesce(F.col(column).cast("double"), F.lit(float("-inf"))) >= threshold

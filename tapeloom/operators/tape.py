@@ -18,8 +18,13 @@ def valid(ticks: DataFrame) -> DataFrame:
     return ticks.where(F.col("instrument").isNotNull() & (F.col("instrument") != "") & price.isNotNull() & ~F.isnan(price) & (price > 0) & (F.col("qty") > 0))
 
 
-def bucketed(ticks: DataFrame, unit: str = "hour") -> DataFrame:
-    return ticks.withColumn("date", F.to_date("ts")).withColumn("bucket", F.date_trunc(unit, "ts"))
+def floored(ts: str | Column, width: str) -> Column:
+    """Start of the bucket that holds ``ts``: ``width`` is a unit of the calendar (hour, day) or a duration (5 minutes)."""
+    return F.window(ts, width).getField("start") if " " in width else F.date_trunc(width, ts)
+
+
+def bucketed(ticks: DataFrame, width: str = "hour") -> DataFrame:
+    return ticks.withColumn("date", F.to_date("ts")).withColumn("bucket", floored("ts", width))
 
 
 def signed(ticks: DataFrame, mode: str = "minute_tick") -> DataFrame:
@@ -76,9 +81,9 @@ def nested_candles(trades: DataFrame, neutral: str = "split") -> DataFrame:
     return candles(trades).join(per, ["instrument", "bucket"])
 
 
-def rolled(bars: DataFrame, unit: str) -> DataFrame:
+def rolled(bars: DataFrame, width: str) -> DataFrame:
     """Candles of a longer bucket: first open, last close, extremes and sums."""
-    b = bars.withColumn("wide", F.date_trunc(unit, "bucket"))
+    b = bars.withColumn("wide", floored("bucket", width))
     return b.groupBy("instrument", F.col("wide").alias("bucket")).agg(
         F.min_by("open", "bucket").alias("open"),
         F.max("high").alias("high"),
@@ -89,8 +94,9 @@ def rolled(bars: DataFrame, unit: str) -> DataFrame:
     )
 
 
-def rolled_levels(level_rows: DataFrame, unit: str) -> DataFrame:
-    return level_rows.groupBy("instrument", F.date_trunc(unit, "bucket").alias("bucket"), "p").agg(F.sum("bv").alias("bv"), F.sum("av").alias("av"))
+def rolled_levels(level_rows: DataFrame, width: str) -> DataFrame:
+    wide = level_rows.withColumn("bucket", floored("bucket", width))
+    return wide.groupBy("instrument", "bucket", "p").agg(F.sum("bv").alias("bv"), F.sum("av").alias("av"))
 
 
 def day_rollup(bars: DataFrame) -> DataFrame:
@@ -179,6 +185,12 @@ def realtime_signal(trades: DataFrame, last: int = 50, intention: Column | float
     return s.withColumn("side", F.when(F.col("fused") > 0.2, "BUY").when(F.col("fused") < -0.2, "SELL").otherwise("NEUTRAL"))
 
 
+def intraday_summary(roster: DataFrame, trades: DataFrame, opens: DataFrame, last: int = 50) -> DataFrame:
+    """The realtime signal of every symbol of the roster (instrument) with day_open and the change since; tradeless symbols are left out."""
+    s = realtime_signal(trades.join(roster, "instrument", "left_semi"), last).join(opens, "instrument", "left")
+    return s.withColumn("change_pct", ratio((F.col("last_price") - F.col("day_open")) * 100, F.col("day_open")))
+
+
 def book_intention(bids: Column, offers: Column) -> Column:
     """(bid quantity - offer quantity) / total, of arrays of (price, qty); 0 for an empty book."""
     total = lambda side: F.aggregate(side, F.lit(0.0), lambda a, x: a + x["qty"])

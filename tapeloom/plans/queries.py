@@ -126,7 +126,7 @@ def _(s, d):
     return tape.levels(signed(s, d), "drop")
 
 
-@query("t03_day_summary", """
+DAY_SUMMARY = """
 , tl AS (SELECT *, sum(value) OVER w AS cum_value, coalesce((close - day_open) * 100 / nullif(day_open, 0), 0) AS momentum,
            (coalesce(CAST(delta AS DOUBLE) / vol, 0) + 1) * 50 - 50 AS x
          FROM (SELECT *, first(open) OVER (PARTITION BY instrument, date ORDER BY bucket) AS day_open, vol * CAST(close AS DECIMAL(18,2)) * 100 AS value FROM c)
@@ -136,7 +136,10 @@ a AS (SELECT instrument, date, arg_min(open, bucket) AS open, arg_max(close, buc
         sum(delta)::BIGINT AS net_vol, CAST(max(cum_value) AS DOUBLE) AS val, arg_max(momentum, bucket) AS momentum, count(*) FILTER (q = 1) AS q1, count(*) FILTER (q = 2) AS q2,
         count(*) FILTER (q = 3) AS q3, count(*) FILTER (q = 4) AS q4, coalesce(sum(vol) FILTER (q = 4), 0)::BIGINT AS q4_vol FROM q GROUP BY ALL)
 SELECT *, CAST(net_vol AS DOUBLE) / vol AS money_flow, CAST(q4 AS DOUBLE) / (q1 + q2 + q3 + q4) AS q4_ratio,
-  round(CAST(q4 AS DOUBLE) / (q1 + q2 + q3 + q4) * (CAST(q4_vol AS DOUBLE) / vol) * greatest(CAST(net_vol AS DOUBLE) / vol, 0), 6) AS hidden_acc FROM a""", "c")
+  round(CAST(q4 AS DOUBLE) / (q1 + q2 + q3 + q4) * (CAST(q4_vol AS DOUBLE) / vol) * greatest(CAST(net_vol AS DOUBLE) / vol, 0), 6) AS hidden_acc FROM a"""
+
+
+@query("t03_day_summary", DAY_SUMMARY, "c")
 def _(s, d):
     return r6(tape.day_summary(bars(s, d)), "hidden_acc")
 
@@ -593,11 +596,20 @@ def _(s, d):
 
 
 @query("p13_flow_quality", """
-, q AS (SELECT *, lag(price) OVER (PARTITION BY ticker ORDER BY date) AS pv FROM f)
-SELECT ticker, date, CASE WHEN price <= 0 THEN 'CRITICAL' WHEN buyers = 0 OR sellers = 0 OR coalesce(abs(CAST(price - pv AS DOUBLE) / nullif(pv, 0)) > 0.35, false) THEN 'WARNING' ELSE 'OK' END AS severity FROM q""", "f")
+, q AS (SELECT *, lag(price) OVER (PARTITION BY ticker ORDER BY date) AS pv FROM f JOIN (SELECT date, ticker, count(*) AS freq FROM bt GROUP BY ALL) USING (date, ticker))
+SELECT ticker, date, CASE WHEN coalesce(price, 0) <= 0 OR buyers = 0 OR sellers = 0 OR (freq > 0 AND total_value <= 0) THEN 'CRITICAL' WHEN pv > 0 AND abs(CAST(price - pv AS DOUBLE) / pv) > 0.35 THEN 'WARNING' ELSE 'OK' END AS severity FROM q""", "f")
 def _(s, d):
+    freq = adapters.broker_trades(s, d).groupBy("date", "ticker").agg(F.count("*").alias("freq"))
     q = flow(s, d).withColumn("prev_price", F.lag("price").over(W.partitionBy("ticker").orderBy("date")))
-    return scoring.quality_issues(q).select("ticker", "date", "severity")
+    return scoring.quality_issues(q.join(freq, ["date", "ticker"])).select("ticker", "date", "severity")
+
+
+def completeness(now):
+    """A plain state by candle counts alone; see scoring.session_completeness for the rule by session."""
+    old, last = F.col("date") < F.to_date(now), F.col("last_bucket")
+    late = (F.hour(last) * 60 + F.minute(last)) < 8 * 60 + 50
+    stale = (F.unix_timestamp(now) - F.unix_timestamp(last.cast("timestamp"))) > 20 * 60
+    return scoring.first_match([(F.coalesce("candles", F.lit(0)) == 0, "NO_DATA"), (F.col("candles") < 10, "SPARSE_DATA"), (old & late, "PAST_DAY_INCOMPLETE"), (~old & stale, "TODAY_STALE")], "COMPLETE")
 
 
 @query("p14_completeness", """
@@ -605,7 +617,7 @@ SELECT instrument, date, CASE WHEN candles < 10 THEN 'SPARSE_DATA' WHEN date < D
   WHEN date >= DATE '2024-01-30' AND epoch(TIMESTAMP '2024-01-30 12:00:00') - epoch(last_bucket) > 1200 THEN 'TODAY_STALE' ELSE 'COMPLETE' END AS completeness FROM d""", "d")
 def _(s, d):
     now = F.lit("2024-01-30 12:00:00").cast("timestamp")
-    return days(s, d).select("instrument", "date", scoring.completeness(now, 20).alias("completeness"))
+    return days(s, d).select("instrument", "date", completeness(now).alias("completeness"))
 
 
 # ---- joins, sets, filters ----

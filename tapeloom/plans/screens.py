@@ -69,7 +69,7 @@ def _(s, d):
 
 @query("c18_health", """
 , q AS (SELECT *, lag(price) OVER (PARTITION BY ticker ORDER BY date) AS pv FROM f),
-v AS (SELECT CASE WHEN price <= 0 THEN 'CRITICAL' WHEN buyers = 0 OR sellers = 0 OR coalesce(abs(CAST(price - pv AS DOUBLE) / nullif(pv, 0)) > 0.35, false) THEN 'WARNING' ELSE 'OK' END AS s FROM q)
+v AS (SELECT CASE WHEN coalesce(price, 0) <= 0 OR buyers = 0 OR sellers = 0 THEN 'CRITICAL' WHEN pv > 0 AND abs(CAST(price - pv AS DOUBLE) / pv) > 0.35 THEN 'WARNING' ELSE 'OK' END AS s FROM q)
 SELECT count(*) AS checked, count(*) FILTER (s = 'WARNING') AS warning, count(*) FILTER (s = 'CRITICAL') AS critical, CASE WHEN count(*) FILTER (s = 'CRITICAL') > 0.1 * count(*) THEN 'FULL_REBUILD' WHEN count(*) FILTER (s = 'CRITICAL') > 0 THEN 'SELECTIVE_REPAIR' ELSE 'NONE' END AS action FROM v""", "f")
 def _(s, d):
     q = flow(s, d).withColumn("prev_price", F.lag("price").over(W.partitionBy("ticker").orderBy("date")))

@@ -45,20 +45,72 @@ def done_line(df: DataFrame, raw: str = "raw") -> DataFrame:
     return d.select(*df.columns, at(0).alias("trade_id"), F.upper(at(1)).alias("symbol"), at(3).alias("time"), _num(at(4)).alias("price"), lot.alias("lot"))
 
 
-def book_update(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """bids and offers (price, qty) of ``B;price;qty|O;price;qty|...`` updates, best first."""
-    parts = F.transform(F.split(F.coalesce(F.col(raw), F.lit("")), r"\|"), lambda x: F.split(x, ";"))
-    valid = F.filter(parts, lambda p: (F.size(p) >= 3) & p[1].try_cast("double").isNotNull() & p[2].try_cast("double").isNotNull())
-    side = lambda s: F.array_sort(F.transform(F.filter(valid, lambda p: p[0] == s), lambda p: F.struct(p[1].try_cast("double").alias("price"), p[2].try_cast("double").alias("qty"))))
-    return df.withColumn("bids", F.reverse(side("B"))).withColumn("offers", side("O"))
-
-
-def calendar_line(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Corporate actions: 12 fields, missing ones empty; field 5 is an epoch second."""
+def book_payload(df: DataFrame, raw: str = "raw", depth: int = 3) -> DataFrame:
+    """subcmd, bids and offers (price, volume) and the best prices of order-book payloads, ``depth`` levels a side.
+
+    A first snapshot (INIT) has arrays BUY and SELL of (price, lots), perhaps
+    as JSON inside ``raw``; offers come out with the best one last. An update
+    has a string ``recinfo``: after ``|;|`` follow the best bid, the best offer
+    and one more field, then triplets of price, bid and offer volume. Any
+    other payload gives empty sides.
+    """
+    shape = "subcmd string, BUY array<array<double>>, SELL array<array<double>>, recinfo string, raw string"
+    outer = F.from_json(F.col(raw), shape)
+    inner = F.from_json(outer["raw"], shape)
+    d = df.withColumn("_p", F.when(outer["subcmd"].isNull() & inner.isNotNull(), inner).otherwise(outer))
+    init = F.coalesce((F.col("_p.subcmd") == "INIT") & F.col("_p.BUY").isNotNull() & F.col("_p.SELL").isNotNull(), F.lit(False))
+    pair = lambda x: F.struct(x[0].alias("price"), x[1].alias("volume"))
+    first = lambda side: F.transform(F.slice(F.col(f"_p.{side}"), 1, depth), pair)
+    update = ~init & F.coalesce(F.col("_p.recinfo").contains("|;|"), F.lit(False))
+    parts = F.split(F.get(F.split("_p.recinfo", r"\|;\|"), 1), r"\|")
+    d = d.withColumn("_f", F.when(update, parts))
+    count = F.greatest(F.floor((F.size("_f") - 3) / 3), F.lit(0)).cast("int")
+    whole = lambda i: F.coalesce(F.regexp_extract(F.get("_f", i), r"^\s*(-?\d+)", 1).try_cast("double"), F.lit(0.0))
+    level = lambda k: F.struct(_num(F.get("_f", 3 * k)).alias("price"), whole(3 * k + 1).alias("bid"), whole(3 * k + 2).alias("offer"))
+    levels = F.filter(F.transform(F.sequence(F.lit(1), count), level), lambda x: x["price"].isNotNull())
+    d = d.withColumn("_l", F.when(update & (count > 0), levels))
+    none = F.array().cast("array<struct<price:double,volume:double>>")
+    side = lambda s: F.slice(F.transform(F.filter("_l", lambda x: x[s] > 0), lambda x: F.struct(x["price"].alias("price"), x[s].alias("volume"))), 1, depth)
+    best = lambda k, s: F.when(init, F.get(F.col(f"_p.{s}"), 0)[0]).otherwise(_num(F.get("_f", k)))
+    return d.select(
+        *df.columns,
+        F.coalesce("_p.subcmd", F.lit("UNKNOWN")).alias("subcmd"),
+        best(0, "BUY").alias("best_bid"),
+        best(1, "SELL").alias("best_offer"),
+        F.coalesce(F.when(init, first("BUY")).otherwise(side("bid")), none).alias("bids"),
+        F.coalesce(F.when(init, F.reverse(first("SELL"))).otherwise(side("offer")), none).alias("offers"),
+    )
+
+
+def calendar_line(df: DataFrame, raw: str = "raw", hours: int = 7) -> DataFrame:
+    """Corporate actions: 12 fields, missing ones empty, the clock ``hours`` ahead of UTC.
+
+    Type, subtype, sequence, epoch second, year, month, day, symbols by comma,
+    primary symbol, status, phase and label. The date is that of the epoch,
+    else of year, month and day; lines without either are dropped.
+    """
     f = F.concat(fields(F.col(raw)), F.array_repeat(F.lit(""), 12))
-    d = df.withColumn("_f", F.slice(f, 1, 12))
+    d = df.where(F.trim(F.col(raw)) != "").withColumn("_f", F.slice(f, 1, 12))
     at = lambda i: F.nullif(F.get("_f", i), F.lit(""))
-    return d.select(*df.columns, at(0).alias("action"), F.upper(at(1)).alias("ticker"), F.timestamp_seconds(at(5).try_cast("bigint")).alias("moment"), F.col("_f").alias("fields"))
+    epoch = F.when(at(3).try_cast("bigint") > 0, at(3).try_cast("bigint"))
+    local = F.timestamp_seconds(epoch + hours * 3600)
+    day = F.concat_ws("-", F.lpad(at(4), 4, "0"), F.lpad(at(5), 2, "0"), F.lpad(at(6), 2, "0")).try_cast("date")
+    symbols = F.filter(F.transform(F.split(F.get("_f", 7), ","), lambda x: F.upper(F.trim(x))), lambda x: x != "")
+    d = d.withColumns({"_local": local, "_symbols": symbols, "_date": F.coalesce(F.to_date(local), day)}).where("_date IS NOT NULL")
+    return d.select(
+        *df.columns,
+        F.coalesce(F.upper(at(0)), F.lit("UNKNOWN")).alias("event_type"),
+        at(1).alias("event_subtype"),
+        at(2).alias("seq"),
+        epoch.alias("epoch"),
+        F.col("_date").alias("event_date"),
+        F.date_format("_local", "HH:mm").alias("event_time"),
+        F.upper(F.coalesce(at(8), F.get("_symbols", 0))).alias("symbol_primary"),
+        F.col("_symbols").alias("symbols"),
+        at(9).alias("status"),
+        at(10).alias("phase"),
+        at(11).alias("label"),
+    )
 
 
 #: Aliases of one daily statistic, first match wins.

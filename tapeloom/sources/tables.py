@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.operators.relational import first_of, latest
+from tapeloom.operators.relational import first_of
 
 CANDLE = "ticker string, t0 bigint, ohlc struct<o:double,h:double,l:double,c:double>, vol double, delta double, levels array<struct<p:double,bv:double,av:double>>"
 
 
 def read_candles(spark: SparkSession, folder: str) -> DataFrame:
-    """Candles of NDJSON files; malformed lines are left out, the last of a key wins by file order of arrival time."""
+    """Candles of NDJSON files; malformed lines are left out.
+
+    Of rows with one ticker and t0 that of the file that came last stays, and
+    in one file that with the larger volume: candles only grow.
+    """
     rows = spark.read.schema(CANDLE).option("mode", "DROPMALFORMED").json(folder).where("t0 IS NOT NULL")
-    return rows.withColumn("bucket", F.timestamp_millis("t0")).select("*", F.col("_metadata.file_modification_time").alias("arrived"))
+    rows = rows.select("*", F.col("_metadata.file_modification_time").alias("arrived"), F.col("_metadata.file_name").alias("_file"))
+    last = rows.groupBy("ticker", "t0").agg(F.max_by(F.struct("ohlc", "vol", "delta", "levels", "arrived"), F.struct("arrived", "_file", "vol")).alias("_r"))
+    return last.select("ticker", "t0", "_r.*").withColumn("bucket", F.timestamp_millis("t0"))
 
 
 def by_priority(sources: list[DataFrame], key: list[str]) -> DataFrame:
@@ -35,6 +41,25 @@ def write_days(df: DataFrame, path: str, date: str = "date") -> None:
     df.repartition(date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
 
 
+def write_parts(df: DataFrame, path: str, by: tuple = ("date", "hour"), ts: str = "ts") -> None:
+    """Add rows to a table partitioned by ``by``: of these, date and hour come from ``ts``; raw tape by (date, hour), books by (symbol, date, hour)."""
+    d = df.withColumns({k: f(ts) for k, f in (("date", F.to_date), ("hour", F.hour)) if k in by and k not in df.columns})
+    # an hour's rows of one symbol meet in one file, a busy hour is split by the writer's limit on rows
+    d.repartition(*by).write.mode("append").option("maxRecordsPerFile", 1_000_000).partitionBy(*by).parquet(path)
+
+
+def last_days(rows: DataFrame, calendar: DataFrame, until: Column, n: int, date: str = "date") -> DataFrame:
+    """Rows of the last ``n`` trading days up to ``until``, with ``day_offset`` (0 is the newest).
+
+    ``calendar`` has date and day_index, one row a trading day; the dates
+    prune a table that is partitioned by date.
+    """
+    known = calendar.where(F.col("date") <= until)
+    newest = known.agg(F.max("day_index").alias("newest"))
+    days = known.crossJoin(newest).select(F.col("date").alias(date), (F.col("newest") - F.col("day_index")).alias("day_offset")).where(F.col("day_offset") < n)  # one row beside a calendar
+    return rows.join(days, date)
+
+
 def kept_since(df: DataFrame, today: Column, days: int, date: str = "date") -> DataFrame:
     """Rows of the last ``days`` days; on a table partitioned by date this prunes files."""
     return df.where(F.col(date) >= F.date_sub(today, days))
@@ -59,5 +84,7 @@ def master_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str]) ->
     return both.select(key, action.alias("action"))
 
 
-def newest(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    return latest(df, key, order)
+def diff_counts(diff: DataFrame) -> DataFrame:
+    """Rows by action of a :func:`master_diff`: the line that an audit table keeps."""
+    actions = ("insert", "update", "skip", "absent")
+    return diff.agg(*[F.count_if(F.col("action") == a).alias(f"{a}s") for a in actions])

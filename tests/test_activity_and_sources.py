@@ -91,14 +91,51 @@ def test_parsers(spark):
     assert [(r.price, r.b_lot, r.s_lot, r.t_lot) for r in got] == [(100, 5, None, 5)]
     got = parsers.done_line(one(spark, "1|bbca|RG|9:01:02|100|5", "1|bbca|NG|9:01:02|100|5", "1|bbca|RG|9h|100|5", "1|bbca|RG|9:01:02|0|5", "1|bbca|RG|9:01:02|100|0")).collect()
     assert [(r.symbol, r.price, r.lot) for r in got] == [("BBCA", 100, 5)]
-    r = parsers.book_update(one(spark, "B;99;10|O;101;5|B;100;7|x|O;bad;1")).first()
-    assert [(x.price, x.qty) for x in r.bids] == [(100, 7), (99, 10)] and [(x.price, x.qty) for x in r.offers] == [(101, 5)]
-    r = parsers.calendar_line(one(spark, "DIV|bbca||||0")).first()
-    assert (r.action, r.ticker, len(r.fields)) == ("DIV", "BBCA", 12)
     got = parsers.daily_stats(one(spark, '{"kode":"A","close":"5","nv":3}', '{"t":"B","c":"x","v":2}')).collect()
     assert [(r.ticker, r.close, r.vol, r.net_vol) for r in got] == [("A", 5, None, 3), ("B", None, 2, None)]
 
 
+def test_calendar_lines(spark):
+    full = "div|cash|7|1771300800|2026|1|2| bbca, bbri |bmri|ok|2|Dividend"
+    got = parsers.calendar_line(one(spark, full, "rups|||0|2026|3|9|tlkm||", "x|y|z", "", None, "||3|1771300800")).collect()
+    assert [(r.event_type, r.event_subtype, r.seq, str(r.event_date), r.event_time, r.symbol_primary, r.symbols, r.status, r.phase, r.label) for r in got] == [
+        ("DIV", "cash", "7", "2026-02-17", "11:00", "BMRI", ["BBCA", "BBRI"], "ok", "2", "Dividend"),
+        ("RUPS", None, None, "2026-03-09", None, "TLKM", ["TLKM"], None, None, None),
+        ("UNKNOWN", None, "3", "2026-02-17", "11:00", None, [], None, None, None),
+    ]
+
+
+def test_book_payloads(spark):
+    init = {"subcmd": "INIT", "BUY": [[100, 7], [99, 10], [98, 1], [97, 1]], "SELL": [[101, 5], [102, 6]]}
+    update = "A|B|;|100|101|0|100|7|0|101||5|bad||1|99|3x|2|98|1"
+    got = parsers.book_payload(one(spark, json.dumps(init), json.dumps({"raw": json.dumps(init)}), json.dumps({"subcmd": "UPDATE", "recinfo": update}), json.dumps({"recinfo": "odd"}), "no json", None)).collect()
+    sides = [([tuple(x) for x in r.bids], [tuple(x) for x in r.offers]) for r in got]
+    # the best offer of a snapshot comes last; three levels a side
+    assert sides[0] == sides[1] == ([(100, 7), (99, 10), (98, 1)], [(102, 6), (101, 5)])
+    assert sides[2] == ([(100, 7), (99, 3)], [(101, 5), (99, 2)])
+    assert sides[3:] == [([], [])] * 3
+    assert [(r.subcmd, r.best_bid, r.best_offer) for r in got[:4]] == [("INIT", 100, 101), ("INIT", 100, 101), ("UPDATE", 100, 101), ("UNKNOWN", None, None)]
+
+
+def test_raw_sinks_and_last_days(spark, tmp_path):
+    rows = spark.createDataFrame([("a", dt.datetime(2026, 1, 5, 9, 30), 1), ("a", dt.datetime(2026, 1, 5, 10, 0), 2), ("b", dt.datetime(2026, 1, 6, 9, 0), 3)], "symbol string, ts timestamp, x int")
+    tables.write_parts(rows, f"{tmp_path}/tape")
+    tables.write_parts(rows, f"{tmp_path}/books", ("symbol", "date", "hour"))
+    tables.write_parts(rows, f"{tmp_path}/books", ("symbol", "date", "hour"))
+    assert sorted((r.hour, r.x) for r in spark.read.parquet(f"{tmp_path}/tape").collect()) == [(9, 1), (9, 3), (10, 2)]
+    back = spark.read.parquet(f"{tmp_path}/books")
+    assert back.count() == 6 and back.where("symbol = 'b' AND hour = 9").count() == 2
+    calendar = spark.createDataFrame([(dt.date(2026, 1, d), k) for k, d in enumerate((2, 5, 6, 7))], "date date, day_index int")
+    got = tables.last_days(spark.read.parquet(f"{tmp_path}/tape"), calendar, F.lit("2026-01-06").cast("date"), 2).collect()
+    assert sorted((r.x, r.day_offset) for r in got) == [(1, 1), (2, 1), (3, 0)]
+
+
+def test_candles_are_read_once(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"ticker":"A","t0":60000,"ohlc":{"o":1,"h":2,"l":1,"c":2},"vol":5,"delta":1}\nnot json\n{"ticker":"A","t0":60000,"vol":9,"delta":2}\n{"ticker":"B","t0":60000,"vol":1}\n')
+    got = sorted((r.ticker, r.vol) for r in tables.read_candles(spark, f"file://{tmp_path}/a.jsonl").collect())
+    assert got == [("A", 9), ("B", 1)]
+
+
 def test_broker_documents(spark):
     doc = {"data": {"from": "2026-01-19", "broker_summary": {"symbol": "bbca", "brokers_buy": [{"netbs_broker_code": "YP", "bval": "1000", "blot": "10"}], "brokers_sell": [{"netbs_broker_code": "AK", "sval": "-900", "slot": "-9"}]}}}
     empty = {"data": {"from": "2026-01-20", "broker_summary": {"symbol": "bbca", "brokers_buy": [], "brokers_sell": []}}}

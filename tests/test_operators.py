@@ -154,8 +154,56 @@ def test_half_up(spark):
 
 
 def test_quality_and_search(spark):
-    df = spark.createDataFrame([(0, 1, 1, 5.0, 10), (10, 0, 1, 5.0, 10), (10, 1, 1, 5.0, 5), (10, 1, 1, 5.0, 10)], "price int, buyers int, sellers int, total_value double, prev_price int")
-    assert [r.severity for r in scoring.quality_issues(df).collect()] == ["CRITICAL", "WARNING", "WARNING", "OK"]
+    rows = [(10, 1, 1, 5.0, 10, 3), (0, 1, 1, 5.0, 10, 3), (None, 1, 1, 5.0, 10, 3), (10, 0, 1, 5.0, 10, 3), (10, 1, None, 5.0, 10, 3), (10, 0, 0, 5.0, 10, 3), (10, 1, 1, 0.0, 10, 3), (10, 1, 1, 0.0, 10, 0), (10, 1, 1, 5.0, 5, 3), (10, 1, 1, 5.0, 0, 3), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "price int, buyers int, sellers int, total_value double, prev_price int, freq int")
+    got = [(r.issues, r.severity) for r in scoring.quality_issues(df).collect()]
+    assert got == [
+        ([], "OK"),
+        (["NO_PRICE"], "CRITICAL"),
+        (["NO_PRICE"], "CRITICAL"),
+        (["NO_BUYERS"], "CRITICAL"),
+        (["NO_SELLERS"], "CRITICAL"),
+        (["NO_BUYERS", "NO_SELLERS", "VALUE_WITHOUT_BROKERS"], "CRITICAL"),
+        (["FREQUENCY_WITHOUT_VALUE"], "CRITICAL"),
+        ([], "OK"),
+        (["PRICE_JUMP"], "WARNING"),
+        ([], "OK"),
+        (["NO_PRICE", "NO_BUYERS", "NO_SELLERS"], "CRITICAL"),
+    ]
     names = spark.createDataFrame([("Alpha", "x"), ("beta", "x"), ("alpine", "y")], "name string, status string")
     assert [r.name for r in relational.search(names, "AL%", "name", status="x").collect()] == ["Alpha"]
     assert {r.name for r in names.where(relational.any_term("name", "bet, pin")).collect()} == {"beta", "alpine"}
+
+
+def test_session_completeness(spark):
+    at = lambda h, m, d=5: dt.datetime(2026, 1, d, h, m)
+    rows = [(5, 80, at(8, 0)), (5, 80, at(7, 30)), (5, 20, at(8, 5)), (5, 0, None), (2, 84, at(8, 55, 2)), (2, 84, at(8, 40, 2)), (2, 41, at(8, 55, 2))]
+    df = spark.createDataFrame([(dt.date(2026, 1, d), n, t) for d, n, t in rows], "date date, traded int, last_bucket timestamp")
+    state = lambda now: [r.s for r in df.select(scoring.session_completeness(F.lit(now).cast("timestamp"), 120, 540).alias("s")).collect()]
+    past = ["COMPLETE", "PAST_DAY_INCOMPLETE", "SPARSE_DATA"]
+    assert state("2026-01-05 08:10:00") == ["COMPLETE", "TODAY_STALE", "SPARSE_DATA", "NO_DATA", *past]
+    # before the open nothing is expected, after the close nothing is stale
+    assert state("2026-01-05 01:00:00")[:4] == ["COMPLETE", "COMPLETE", "COMPLETE", "NO_DATA"]
+    assert state("2026-01-05 12:00:00")[:4] == ["COMPLETE", "COMPLETE", "SPARSE_DATA", "NO_DATA"]
+
+
+def test_minute_tick_rule_and_reset(spark):
+    at = lambda m, s: dt.datetime(2026, 1, 5, 2, m, s)
+    rows = [("A", at(0, 10), 1, 100.0, 10), ("A", at(0, 20), 2, 101.0, 20), ("A", at(0, 50), 3, 99.0, 30), ("A", at(1, 5), 4, 100.0, 40), ("A", at(1, 30), 5, 102.0, 50), ("A", at(1, 55), 6, 101.0, 60)]
+    ticks = spark.createDataFrame(rows, "instrument string, ts timestamp, seq long, price double, qty long")
+    minute = tape.candles(tape.signed(tape.bucketed(ticks, "minute")))
+    got = [(r.open, r.high, r.low, r.close, r.vol, r.delta) for r in minute.orderBy("bucket").collect()]
+    assert got == [(100, 101, 99, 99, 60, -10), (100, 102, 100, 101, 150, -10)]
+    five = tape.rolled(minute, "5 minutes").collect()
+    assert [(r.open, r.high, r.low, r.close, r.vol, r.delta) for r in five] == [(100, 102, 99, 101, 210, -20)]
+
+
+def test_probability_of_missing_and_stale_inputs(spark):
+    names = ["sm2", "sm5", "sm10", "order_mom_pct", "order_delta_pct", "order_absorb", "order_cvd", "eff2", "eff5", "netv"]
+    rows = [(f"T{i}", "NEUTRAL" if i else "DISTRIBUTION", i != 3, *[float(i)] * len(names)) for i in range(8)]
+    rows.append(("T8", "NEUTRAL", True, *[None if n == "order_mom_pct" else 9.0 for n in names]))
+    df = spark.createDataFrame(rows, "ticker string, state string, fresh boolean, " + ", ".join(f"{n} double" for n in names)).withColumn("date", F.lit(1))
+    got = {r.ticker: r for r in scoring.two_day_probability(df, ["date"], F.col("fresh")).collect()}
+    assert (got["T0"].tom2, got["T0"].tom2_raw, got["T0"].tom2_label) == (5, 0, "DISQ")
+    assert [(got[t].tom2, got[t].tom2_raw, got[t].tom2_label) for t in ("T3", "T8")] == [(None, None, "NA")] * 2
+    assert 5 <= got["T1"].tom2 < got["T7"].tom2 <= 90

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tapeloom.plans import more, screens  # noqa: F401  these register further queries
+from tapeloom.plans import lines, more, screens, session  # noqa: F401  these register further queries
 from tapeloom.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
