@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import ratio
 from tapeloom.operators import activity, relational, rolling, scoring, tape
-from tapeloom.plans.queries import HYBRID, LEVELS, REGIME, SMART, bars, contexts, days, flow, money, net, query, r6, regimes, signed, ticks
+from tapeloom.plans.queries import CTX, HYBRID, LEVELS, REGIME, SMART, bars, contexts, days, flow, money, net, query, r6, regimes, signed, ticks
 from tapeloom.sources import adapters
 from tapeloom.storage import numbered
 
@@ -240,7 +240,22 @@ def hot_inputs(s, d):
     return o.withColumns({"bss": 50 + F.col("delta_pct") / 2, "ats": 50 - F.col("price_pct") / 10, "divergent": divergent})
 
 
-@query("c11_hot_score")
+def _mid(c: str) -> str:
+    n = "count(*) OVER (PARTITION BY date)"
+    return f"CASE WHEN {n} <= 1 THEN 0.5::DOUBLE ELSE (rank() OVER (PARTITION BY date ORDER BY {c}) - 1 + 0.5::DOUBLE * count(*) OVER (PARTITION BY date, {c})) / {n} END"
+
+
+@query("c11_hot_score", CTX + f"""
+, i AS (SELECT *, coalesce(price_pct, 0) AS chg, coalesce(50 + delta_pct / 2, 50) AS prs, delta_pct - lag(delta_pct) OVER w AS ps, CAST(delta - lag(delta) OVER w AS DOUBLE) AS cs,
+  coalesce(ctx_found AND ((ctx_state = 'DISTRIBUTION' AND (delta_pct > 5 OR (delta_pct > 0 AND ctx_z < -0.5))) OR (ctx_state = 'ACCUMULATION' AND delta_pct < -5)), false) AS dv FROM x WINDOW w AS (PARTITION BY instrument ORDER BY date)),
+k AS (SELECT *, {_mid("chg")} AS m, {_mid("vol")} AS v, {_mid("prs")} AS p, {_mid("delta")} AS c, greatest(0::DOUBLE, least(1::DOUBLE, (coalesce(ps, 0) + 2) / 4)) AS pf, greatest(0::DOUBLE, least(1::DOUBLE, (coalesce(cs, 0) + 2) / 4)) AS cf,
+  coalesce((50 + delta_pct / 2) / 100, 0.5) AS b, coalesce((50 - price_pct / 10) / 100, 0.5) AS a, (dv OR (abs(chg) > 1.5 AND abs(delta) > 50 AND sign(chg) * sign(delta) < 0))::INT AS dg,
+  (abs(chg) > avg(abs(chg)) OVER (PARTITION BY date) + 2 * coalesce(nullif(stddev_pop(abs(chg)) OVER (PARTITION BY date), 0), 1))::INT AS ex FROM i),
+z AS (SELECT *, floor(100 * greatest(0::DOUBLE, least(1::DOUBLE, 0.1 * m + 0.1 * v + 0.2 * p + 0.1 * pf + 0.2 * c + 0.1 * cf + 0.1 * b + 0.1 * a - 0.25 * dg - 0.1 * ex)) + 0.5) AS sc FROM k),
+h AS (SELECT *, CASE WHEN sc > 70 AND NOT (p > 0.6 AND (b > 0.6 OR a > 0.6) AND dg = 0) THEN least(sc, 69) ELSE sc END AS hot,
+  [q.n FOR q IN list_sort(list_filter([{{'w': -m, 'n': 'M'}}, {{'w': -v, 'n': 'V'}}, {{'w': -p, 'n': 'P'}}, {{'w': -c, 'n': 'C'}}, {{'w': -b, 'n': 'B'}}, {{'w': -a, 'n': 'O'}}], lambda q: q.w < -0.6::DOUBLE))] AS why FROM z)
+SELECT instrument, date, hot, CASE WHEN hot >= 70 THEN 'Strong Continuation' WHEN hot >= 50 THEN 'Watch' ELSE 'Cooling' END AS stage,
+  array_to_string(list_concat(why, ['NEUTRAL', 'NEUTRAL'][1:greatest(0, 2 - len(why))]), ',') AS reasons FROM h""", "o")
 def _(s, d):
     return activity.hot_score(hot_inputs(s, d), ["date"]).select("instrument", "date", "hot", "stage", F.array_join("reasons", ",").alias("reasons"))
 

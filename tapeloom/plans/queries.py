@@ -589,10 +589,14 @@ def _(s, d):
     return tape.order_flow(days(s, d)).groupBy(k.alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("delta") > 0).alias("bought"))
 
 
+#: A probability from regime rows alone; c13_tom2 and c14_swg5 have the full sets of inputs.
+SHORT_PARTS = [(0.45, [(0.7, "net", True), (0.3, "z_ngr_20", True)]), (0.35, [(1.0, "ret", True)]), (0.20, [(1.0, "z_effort_20", False)])]
+
+
 @query("c13_probability")
 def _(s, d):
-    parts = [(0.45, [(0.7, "net", True), (0.3, "z_ngr_20", True)]), (0.35, [(1.0, "ret", True)]), (0.20, [(1.0, "z_effort_20", False)])]
-    return scoring.probability(regimes(s, d), parts, ["date"], "effort").select("ticker", "date", "state", "prob", "prob_label", F.round("prob_raw", 6).alias("prob_raw"))
+    # z-scores that differ in their last bits are ties
+    return scoring.probability(r6(regimes(s, d), "z_ngr_20", "z_effort_20"), SHORT_PARTS, ["date"], "effort").select("ticker", "date", "state", "prob", "prob_label", F.round(F.col("prob_raw") + 1e-12, 6).alias("prob_raw"))
 
 
 @query("p13_flow_quality", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import ratio
 from tapeloom.operators import rolling, scoring, tape
-from tapeloom.plans.queries import DAY_SUMMARY, LEVELS, NEEDS, PARTS, REGIME, SMART, flow, query, r6
+from tapeloom.plans.queries import DAY_SUMMARY, LEVELS, NEEDS, PARTS, REGIME, SHORT_PARTS, SMART, SQL, flow, query, r6, with_parts
 from tapeloom.sources import adapters
 
 CANDLES = """SELECT instrument, date, bucket, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close,
@@ -153,10 +153,10 @@ def _scored(parts: list, name: str, trend: str, fresh: str) -> str:
     one = lambda c, gate: f"CASE WHEN {c} IS NULL THEN 0 WHEN {c} <= 0 THEN least(0::DOUBLE, p_{c}) ELSE p_{c} END" if gate else f"p_{c}"
     total = " + ".join(f"{w}::DOUBLE * (" + " + ".join(f"{v}::DOUBLE * ({one(c, g)})" for v, c, g in inner) + ")" for w, inner in parts)
     return f""", pc AS (SELECT *, greatest(0::DOUBLE, least(1::DOUBLE, (({_pct("netv")}) - 0.1) / 0.4)) AS liq, {centred} FROM fa),
-rw AS (SELECT *, liq * ({total}) + CASE state WHEN 'READY_MARKUP' THEN 0.1 WHEN 'ACCUMULATION' THEN 0.06 WHEN 'TRANSITION' THEN 0.02 ELSE 0 END + {trend} AS raw, {fresh} AS fresh FROM pc),
-sc AS (SELECT *, CASE WHEN state = 'DISTRIBUTION' THEN 5 ELSE greatest(5, least(90, floor(5 + 85 / (1 + exp(-4 * raw)) + 0.5))) END::DOUBLE AS score FROM rw)
-SELECT ticker, date, CASE WHEN fresh THEN score END AS {name}, round(CASE WHEN fresh THEN CASE WHEN state = 'DISTRIBUTION' THEN 0 ELSE raw END END + 1e-12, 6) AS {name}_raw,
-  CASE WHEN NOT fresh THEN 'NA' WHEN state = 'DISTRIBUTION' THEN 'DISQ' WHEN score >= 70 THEN 'HIGH' WHEN score >= 50 THEN 'MED' WHEN score >= 35 THEN 'LOW' ELSE 'VLOW' END AS {name}_label FROM sc"""
+rw AS (SELECT *, liq * ({total}) + CASE state WHEN 'READY_MARKUP' THEN 0.1 WHEN 'ACCUMULATION' THEN 0.06 WHEN 'TRANSITION' THEN 0.02 ELSE 0 END + {trend} AS p_raw, {fresh} AS fresh FROM pc),
+sc AS (SELECT *, CASE WHEN state = 'DISTRIBUTION' THEN 5 ELSE greatest(5, least(90, floor(5 + 85 / (1 + exp(-4 * p_raw)) + 0.5))) END::DOUBLE AS p_score FROM rw)
+SELECT ticker, date, CASE WHEN fresh THEN p_score END AS {name}, round(CASE WHEN fresh THEN CASE WHEN state = 'DISTRIBUTION' THEN 0 ELSE p_raw END END + 1e-12, 6) AS {name}_raw,
+  CASE WHEN NOT fresh THEN 'NA' WHEN state = 'DISTRIBUTION' THEN 'DISQ' WHEN p_score >= 70 THEN 'HIGH' WHEN p_score >= 50 THEN 'MED' WHEN p_score >= 35 THEN 'LOW' ELSE 'VLOW' END AS {name}_label FROM sc"""
 
 
 def rounded(c: str):
@@ -177,3 +177,8 @@ def _(s, d):
 def _(s, d):
     fresh = F.col("date") >= F.lit(FRESH).cast("date")
     return scoring.five_day_probability(features(s, d), ["date"], fresh).select("ticker", "date", "swg5", rounded("swg5_raw"), "swg5_label")
+
+
+SQL["c13_probability"] = with_parts(
+    REGIME + ", fa AS (SELECT * REPLACE (round(z_ngr_20, 6) AS z_ngr_20, round(z_effort_20, 6) AS z_effort_20), effort AS netv FROM rg)" + _scored(SHORT_PARTS, "prob", "0", "true").replace("SELECT ticker, date, CASE WHEN fresh", "SELECT ticker, date, state, CASE WHEN fresh"), "f"
+)
