@@ -58,7 +58,7 @@ def calendar_streak(net: DataFrame, calendar: DataFrame, key: list[str]) -> Data
     ``calendar`` has date and day_index. Consecutive active days have
     consecutive indexes, so no grid of keys and days is built.
     """
-    active = net.where("net <> 0").join(F.broadcast(calendar.select("date", "day_index")), "date")
+    active = net.where("net <> 0").join(calendar.select("date", "day_index"), "date")
     newest = W.partitionBy(*key).orderBy(F.desc("day_index"))
     a = active.withColumn("_s", F.signum("net").cast("int")).withColumn("_k", F.row_number().over(newest))
     a = a.withColumn("_first", F.first("_s").over(newest)).withColumn("_top", F.first("day_index").over(newest))
@@ -196,6 +196,18 @@ def on_demand_features(day_rows: DataFrame, key: str = "instrument") -> DataFram
     return g.withColumn("state", state).drop("a", "z")
 
 
+#: Feature -> (source, value at -3, value at 3).
+FEATURE_RANGES = {"effort": ("avg_vol", 0.0, 1e7), "response": ("price_change", -10.0, 10.0), "quality": ("avg_delta_pct", -50.0, 50.0), "elasticity_z": ("elasticity", -1.0, 1.0)}
+
+
+def scaled_features(day_rows: DataFrame, most: int = 20, least: int = 5, key: str = "instrument") -> DataFrame:
+    """State and features in -3..3 of each key's newest ``most`` days; keys with fewer than ``least`` are left out."""
+    newest = W.partitionBy(key).orderBy(F.desc("date"))
+    recent = day_rows.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= most).drop("_k")
+    f = on_demand_features(recent, key).where(F.col("days") >= least)
+    return f.withColumns({n: clamp((F.col(c) - low) / (high - low) * 6 - 3, -3.0, 3.0) for n, (c, low, high) in FEATURE_RANGES.items()})
+
+
 def flow_features(flow: DataFrame, least: int = 5) -> DataFrame:
     """The same question asked of broker flow: state and features in -3..3 from each ticker's days.
 

@@ -123,7 +123,8 @@ def dense_series(net: DataFrame, entity: str, top: int = 12) -> DataFrame:
 def breadth_quadrants(net: DataFrame) -> DataFrame:
     """Net, total and breadth by broker; quadrant against the upper median breadth."""
     b = net.groupBy("broker").agg(F.sum("net").alias("net"), F.sum(F.col("buy") + F.col("sell")).alias("total"), F.count_distinct("ticker").alias("breadth"))
-    n = b.agg(F.element_at(F.array_sort(F.collect_list("breadth")), (F.floor(F.count("*") / 2) + 1).cast("int")).alias("median"))
+    # from above, so that of two middle values the larger one counts; the buffer holds counts by value
+    n = b.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY breadth DESC)").cast("long").alias("median"))
     b = b.crossJoin(F.broadcast(n))  # one row
     wide = F.col("breadth") >= F.col("median")
     q = F.when((F.col("net") >= 0) & wide, "Q1").when((F.col("net") < 0) & wide, "Q2").when(F.col("net") < 0, "Q3").otherwise("Q4")

@@ -66,7 +66,7 @@ def merged(sources: list[tuple[str, DataFrame]], key: list[str], columns: list[s
 def missing_dates(rows: DataFrame, calendar: DataFrame, key: str) -> DataFrame:
     """Calendar dates that a key has no row for."""
     keys = rows.select(key).distinct()
-    grid = keys.crossJoin(F.broadcast(calendar.select("date")))  # expected key-dates: the answer's own grid
+    grid = keys.crossJoin(calendar.select("date"))  # expected key-dates: the answer's own grid; Spark broadcasts a small side
     return grid.join(rows.select(key, "date").distinct(), [key, "date"], "left_anti")
 
 

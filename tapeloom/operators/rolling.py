@@ -126,7 +126,7 @@ def average_rank(x: Column, by: list[str], fallback: float = 0.5) -> Column:
 
 def lookback_sums(d: DataFrame, calendar: DataFrame, windows: tuple = (2, 5, 10, 20), key: str = "instrument") -> DataFrame:
     """Sum of delta and its share of volume over the last n trading days (of ``calendar``: date, day_index)."""
-    d = d.join(F.broadcast(calendar), "date")  # one row a trading day
+    d = d.join(calendar, "date")  # one row a trading day
     for n in windows:
         w = W.partitionBy(key).orderBy("day_index").rangeBetween(-(n - 1), 0)
         d = d.withColumn(f"cvd_{n}", F.sum("delta").over(w)).withColumn(f"cvd_pct_{n}", ratio(100 * F.sum("delta").over(w), F.sum("vol").over(w)))

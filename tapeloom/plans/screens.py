@@ -93,5 +93,5 @@ def _(s, d):
   FROM (SELECT * FROM d JOIN cal USING (date)) a LEFT JOIN (SELECT * FROM d JOIN cal USING (date)) b ON a.instrument = b.instrument AND b.day_index < a.day_index GROUP BY ALL)
 SELECT instrument, date, round(CAST(vol AS DOUBLE) / nullif(list_avg([x.v FOR x IN l IF x.i IS NOT NULL AND day_index - x.i < 15]), 0), 6) AS rvol_5 FROM e""", "d")
 def _(s, d):
-    x = days(s, d).join(F.broadcast(rolling.trading_calendar(ticks(s, d))), "date")  # one row a day
+    x = days(s, d).join(rolling.trading_calendar(ticks(s, d)), "date")
     return r6(screens.relative_volume_fallback(x, 5).select("instrument", "date", "rvol_5"), "rvol_5")

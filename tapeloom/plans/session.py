@@ -6,8 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import ratio
-from tapeloom.operators import rolling, scoring, tape
-from tapeloom.plans.queries import DAY_SUMMARY, LEVELS, NEEDS, PARTS, REGIME, SHORT_PARTS, SMART, SQL, flow, query, r6, with_parts
+from tapeloom.operators import activity, rolling, scoring, tape
+from tapeloom.plans.queries import DAY_SUMMARY, LEVELS, NEEDS, PARTS, REGIME, SHORT_PARTS, SMART, SQL, days, flow, query, r6, with_parts
 from tapeloom.sources import adapters
 
 CANDLES = """SELECT instrument, date, bucket, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close,
@@ -98,6 +98,22 @@ def _(s, d):
     return r6(rolling.rolling_z(rolling.smart_money(flow(s, d)), Z_COLUMNS, (2, 5, 10, 20, 60)).select("ticker", "date", *names), *names)
 
 
+def _scaled(x: str, low: float, high: float) -> str:
+    return f"greatest(-3::DOUBLE, least(3::DOUBLE, (({x}) - {low}::DOUBLE) / {high - low}::DOUBLE * 6 - 3))"
+
+
+@query("r06_scaled_features", f"""
+, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY date DESC) AS w FROM d) WHERE w <= 20),
+k AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY date) AS u FROM l),
+a AS (SELECT instrument, count(*) AS days, avg(vol) AS av, 100 * (arg_max(close, date) - arg_min(close, date)) / arg_min(close, date) AS pc, avg(CAST(delta * 100 AS DOUBLE) / vol) AS dp,
+  sum(delta) FILTER (w <= 5) AS recent, sum(delta) FILTER (u <= 5) AS early FROM k GROUP BY 1 HAVING count(*) >= 5)
+SELECT instrument, days, round({_scaled("av", 0, 1e7)}, 6) AS effort, round({_scaled("pc", -10, 10)}, 6) AS response, round({_scaled("dp", -50, 50)}, 6) AS quality, round({_scaled("pc / (av / 1000000)", -1, 1)}, 6) AS elasticity_z,
+  CASE WHEN recent > early * 1.5 AND recent > 0 THEN 'ACCUMULATION' WHEN recent < early * 0.5 AND recent < 0 THEN 'DISTRIBUTION' WHEN recent > 0 AND pc > 2 THEN 'READY_MARKUP' WHEN recent < 0 AND pc < -2 THEN 'POTENTIAL_TOP' ELSE 'NEUTRAL' END AS state FROM a""", "d")
+def _(s, d):
+    names = list(activity.FEATURE_RANGES)
+    return r6(activity.scaled_features(days(s, d)).select("instrument", "days", *names, "state"), *names)
+
+
 # ---- the probabilities, with all their inputs ----
 
 EFFORTS = (2, 5, 10)
