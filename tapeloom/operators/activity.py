@@ -78,6 +78,19 @@ def rank_trail(points: DataFrame, key: str, minute: str, value: str, top: int) -
     return r.withColumn("rank_delta", F.lag("rank").over(W.partitionBy(key, "_island").orderBy(minute)) - F.col("rank")).drop("_island")
 
 
+def rank_trend(ranked: DataFrame, key: str, minute: str, back: int = 5, points: int = 10) -> DataFrame:
+    """Change of the rank over the last ``back`` points that a key has, and its slope over the last ``points``.
+
+    Minutes without a rank do not count. Both are negative where the rank
+    improves, and 0 with too few points (two for the change, three for the slope).
+    """
+    w = W.partitionBy(key).orderBy(minute)
+    at, last = F.row_number().over(w).cast("double"), w.rowsBetween(1 - points, 0)
+    r = ranked.withColumn("_i", at)
+    slope = F.when(F.count("*").over(last) >= 3, F.regr_slope(F.col("rank").cast("double"), F.col("_i")).over(last)).otherwise(0.0)
+    return r.withColumn("rank_change", F.col("rank") - F.first("rank").over(w.rowsBetween(-back, 0))).withColumn("rank_slope", slope).drop("_i")
+
+
 def scaled(x: Column, low: float, high: float) -> Column:
     """0..100 within low..high."""
     return clamp((x - low) / (high - low) * 100, 0.0, 100.0)

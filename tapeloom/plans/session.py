@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import ratio
 from tapeloom.operators import activity, rolling, scoring, tape
-from tapeloom.plans.queries import DAY_SUMMARY, LEVELS, NEEDS, PARTS, REGIME, SHORT_PARTS, SMART, SQL, days, flow, query, r6, with_parts
+from tapeloom.plans.queries import DAY_SUMMARY, LEVELS, NEEDS, PARTS, REGIME, SHORT_PARTS, SMART, SQL, bars, days, flow, query, r6, with_parts
 from tapeloom.sources import adapters
 
 CANDLES = """SELECT instrument, date, bucket, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close,
@@ -98,6 +98,16 @@ def _(s, d):
     return r6(rolling.rolling_z(rolling.smart_money(flow(s, d)), Z_COLUMNS, (2, 5, 10, 20, 60)).select("ticker", "date", *names), *names)
 
 
+@query("w13_rank_trend", """
+, r AS (SELECT instrument, bucket, row_number() OVER (PARTITION BY bucket ORDER BY vol DESC, instrument) AS rank FROM c QUALIFY rank <= 3),
+i AS (SELECT *, CAST(row_number() OVER (PARTITION BY instrument ORDER BY bucket) AS DOUBLE) AS i FROM r)
+SELECT instrument, bucket, rank, rank - first_value(rank) OVER (PARTITION BY instrument ORDER BY bucket ROWS 5 PRECEDING) AS rank_change,
+  round(CASE WHEN count(*) OVER w >= 3 THEN regr_slope(rank, i) OVER w ELSE 0 END + 1e-12, 6) AS rank_slope FROM i WINDOW w AS (PARTITION BY instrument ORDER BY bucket ROWS 9 PRECEDING)""", "c")
+def _(s, d):
+    ranked = activity.rank_trail(bars(s, d).select("instrument", "bucket", "vol"), "instrument", "bucket", "vol", 3)
+    return activity.rank_trend(ranked, "instrument", "bucket").select("instrument", "bucket", "rank", "rank_change", rounded("rank_slope"))
+
+
 def _scaled(x: str, low: float, high: float) -> str:
     return f"greatest(-3::DOUBLE, least(3::DOUBLE, (({x}) - {low}::DOUBLE) / {high - low}::DOUBLE * 6 - 3))"
 
