@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tapeloom.llm import (
     chat_format,
+    collocations,
     exact_dedup,
     mixing,
     packing,
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_collocations": collocations.op11_collocations,
     }
 
 
@@ -37,4 +39,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": quality_rules.OP4_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
+        "op11_collocations": collocations.OP11_SQL,
     }
