@@ -14,6 +14,7 @@ from tapeloom.llm import (
     simhash,
     toxicity,
     url_filter,
+    whitening,
 )
 
 
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_collocations": collocations.op11_collocations,
+        "op12_embedding_whitening": whitening.op12_embedding_whitening,
     }
 
 
