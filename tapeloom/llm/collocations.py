@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,17 +15,21 @@ TOP = 2000
 
 #: Words of one suffix array at most, all languages together; a shard's memory is some 100 bytes a word.
 SHARD_WORDS = 1 << 20
+#: Bytes of a text that are split into words at a time, to the end of a piece.
+TEXT_BYTES = 1 << 20
 #: Rows of a result batch.
 BATCH_ROWS = 1 << 15
 #: Bits of the filter of frequent words or pairs: 16 for each, at most so many (8 MiB). A full filter only lets more through.
 MOST_BITS = 1 << 26
-#: Mixes the hashes of a pair's words; an odd number below 2^30, so that products stay within 63 bits.
-MIX = 0x1D2A_6B57
+#: Mixes the hashes of a pair's words.
+SEED, MIX = 42, 0x9E3779B97F4A7C15
 #: Phrases of a language that one task ranks, roughly; more are ranked in parts first.
 RANK_ROWS = 20_000
 
-#: A-Z lower-cased; what ends a piece becomes a line end.
-_MAP = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10)
+#: What ends a piece: a byte that no UTF-8 text holds.
+END = b"\xff"
+#: A-Z lower-cased, the ends of pieces marked.
+_MAP = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz" + END * 10)
 
 
 def suffix_array(ids, depth: int):
@@ -90,125 +92,180 @@ def _runs(ids, joined, least: int):
     return out
 
 
-def _word_hash(lang: bytes, word: bytes) -> int:
-    return zlib.crc32(lang + b"\x00" + word)
-
-
 def _has(bits, hashes):
     import numpy as np
 
-    at = hashes & np.int64(len(bits) * 8 - 1)
-    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+    at = hashes & np.uint64(len(bits) * 8 - 1)
+    return bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+class _Ids(dict):
+    """Numbers new words on the way."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self)
+        return found
 
 
 class Shard:
     """The words of some texts of one language as ids from 1; 0 ends a piece."""
 
-    def __init__(self) -> None:
-        from array import array
+    def __init__(self, lang: str) -> None:
+        self.lang, self.known, self.parts = lang, _Ids({END: 0}), []
+
+    def add(self, text: bytes) -> int:
+        """Take all words of ``text``; returns their number, ends counted."""
+        import numpy as np
+
+        words = text.replace(END, b" " + END + b" ").split()  # at blanks and tabs, the only white space left
+        words.append(END)
+        self.parts.append(np.fromiter(map(self.known.__getitem__, words), np.int32, len(words)))
+        return len(words)
+
+    def close(self) -> None:
+        import numpy as np
+        from xxhash import xxh64_intdigest
+
+        self.ids, self.parts = np.concatenate(self.parts), []
+        lang = self.lang.encode() + b"\x00"
+        self.hashes = np.fromiter((xxh64_intdigest(lang + w, SEED) for w in self.known), np.uint64, len(self.known))
+
+    def pair_keys(self, first, second):
+        import numpy as np
+
+        return self.hashes[first] * np.uint64(MIX) + self.hashes[second]
+
+    def joined(self, words, pairs=None):
+        """Whether the filters have both words at a place and after it, and the pair."""
+        good = _has(words, self.hashes)
+        good[0] = False
+        first, second = self.ids[:-1], self.ids[1:]
+        both = good[first] & good[second]
+        return both if pairs is None else both & _has(pairs, self.pair_keys(first, second))
+
+    def word_counts(self):
+        """(hashes, counts) of all words."""
+        import numpy as np
 
-        self.known: dict[bytes, int] = {}
-        self.ids = array("i")
+        return self.hashes[1:], np.bincount(self.ids, minlength=len(self.known))[1:]
 
-    def add(self, piece: list[bytes]) -> None:
-        known = self.known
-        self.ids.extend([known.setdefault(w, len(known) + 1) for w in piece])
-        self.ids.append(0)
+    def pair_counts(self, words):
+        """(hashes, counts) of the pairs of words that the filter has."""
+        ids = _runs(self.ids, self.joined(words), 2)
+        _, at, counts = next(intervals(ids, 2, 2))
+        return self.pair_keys(ids[at], ids[at + 1]), counts
 
-    def counts(self, lang: bytes, lengths: tuple[int, int], words, pairs):
-        """(phrases, lengths, counts) as Arrow arrays: n-grams of words that the filter ``words`` has and, from three words on, of pairs that ``pairs`` has."""
+    def phrase_counts(self, most: int, words, pairs):
+        """(phrases, length, counts) as Arrow arrays: words and phrases all of whose words and pairs the filters have."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        least, most = lengths
-        ids = np.frombuffer(self.ids, np.int32)
-        if words is not None:
-            hashes = np.fromiter((_word_hash(lang, w) for w in self.known), np.int64, len(self.known))
-            hashes = np.concatenate([[0], hashes])
-            good = _has(words, hashes)
-            good[0] = False
-            joined = good[ids[:-1]] & good[ids[1:]]
-            if pairs is not None:
-                joined &= _has(pairs, hashes[ids[:-1]] * MIX + hashes[ids[1:]])
-            ids = _runs(ids, joined, least)
-        named = pa.array([b"", *self.known], pa.binary())
+        named = pa.array(self.known, pa.binary())
+        counts = np.bincount(self.ids, minlength=len(self.known))
+        good = np.flatnonzero(_has(words, self.hashes))
+        good = good[good > 0]
+        found = [(1, None, good, counts[good])]
+        ids = _runs(self.ids, self.joined(words, pairs), 2)
         padded = np.concatenate([ids, np.zeros(most, ids.dtype)])
-        for n, at, count in intervals(ids, most, least):
+        found += [(n, padded, at, count) for n, at, count in intervals(ids, most, 2)]
+        for n, words_at, at, count in found:
             for k in range(0, len(at), BATCH_ROWS):
                 part = at[k : k + BATCH_ROWS]
-                phrase = pc.binary_join_element_wise(*[named.take(pa.array(padded[part + j])) for j in range(n)], b" ")
+                parts = [named.take(pa.array(part))] if n == 1 else [named.take(pa.array(words_at[part + j])) for j in range(n)]
+                phrase = pc.binary_join_element_wise(*parts, b" ")
                 yield phrase.cast(pa.string()), n, pa.array(count[k : k + BATCH_ROWS], pa.int64())
 
 
-def _counted(docs: DataFrame, lengths: tuple[int, int], words=None, pairs=None) -> DataFrame:
-    """(lang, phrase, words, n): counts of all shards, merged by key."""
+def _scanned(docs: DataFrame, rows_of, schema: str) -> DataFrame:
+    """What ``rows_of`` gives for each shard: batches of the columns of ``schema``."""
 
     def scan(batches):
-        import pyarrow as pa
-
         shards, size = {}, 0
 
         def flush():
-            for lang, shard in shards.items():
-                for phrase, n, count in shard.counts(lang.encode(), lengths, words and words.value, pairs and pairs.value):
-                    rows = len(phrase)
-                    yield pa.record_batch([pa.array([lang] * rows, pa.string()), phrase, pa.array([n] * rows, pa.int32()), count], names=["lang", "phrase", "words", "n"])
+            for lang in sorted(shards):
+                shard = shards.pop(lang)
+                shard.close()
+                yield from rows_of(shard)
 
         for b in slices(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for piece in text.as_py().encode().translate(_MAP).split(b"\n"):
-                    if found := piece.split():  # at blanks and tabs, the only white space left
-                        shards.setdefault(lang, Shard()).add(found)
-                        size += len(found) + 1
-                        if size >= SHARD_WORDS:
-                            yield from flush()
-                            shards, size = {}, 0
+                data, at = text.as_py().encode().translate(_MAP), 0
+                while at < len(data):
+                    end = data.find(END, at + TEXT_BYTES) + 1 or len(data)
+                    if lang not in shards:
+                        shards[lang] = Shard(lang)
+                    size += shards[lang].add(data[at:end])
+                    at = end
+                    if size >= SHARD_WORDS:
+                        yield from flush()
+                        size = 0
         yield from flush()
 
     slim = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_of().alias("text"))
-    each = slim.mapInArrow(scan, "lang string, phrase string, words int, n long")
-    return each.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    return slim.mapInArrow(scan, schema)
+
+
+def _key_batch(keys, counts):
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.record_batch([pa.nulls(len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], names=["lang", "key", "n"])
+
+
+def _word_keys(shard: Shard):
+    import pyarrow as pa
+
+    keys, counts = shard.word_counts()
+    yield _key_batch(keys, counts)
+    # the language's total, without a key
+    yield pa.record_batch([pa.array([shard.lang]), pa.nulls(1, pa.int64()), pa.array([int(counts.sum())])], names=["lang", "key", "n"])
 
 
-def _filter(frequent: DataFrame, key: Column):
-    """The set bits of ``key``, as a broadcast byte array; its size is bounded by MOST_BITS."""
+def _filter(keys: DataFrame):
+    """The bits of the column ``key`` as a broadcast byte array; its size is bounded by MOST_BITS."""
     import numpy as np
 
-    spark, n = frequent.sparkSession, frequent.count()
+    spark, n = keys.sparkSession, keys.count()
     bits = min(MOST_BITS, max(1 << 10, 1 << (16 * n).bit_length()))
-    at = key.bitwiseAND(F.lit(bits - 1))
-    rows = frequent.select(F.shiftright(at, 6).alias("block"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    at = F.col("key").bitwiseAND(F.lit(bits - 1))
+    rows = keys.select(F.shiftright(at, 6).alias("block"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     found = rows.groupBy("block").agg(F.bit_or("bit").alias("bits")).toArrow()  # 16 bytes for each 64 bits
     blocks = np.zeros(bits // 64, "<i8")
     blocks[found["block"].to_numpy()] = found["bits"].to_numpy()
     return spark.sparkContext.broadcast(blocks.view(np.uint8))
 
 
-def _hash_of(word: Column) -> Column:
-    return F.crc32(F.concat(F.encode("lang", "UTF-8"), F.lit(b"\x00"), F.encode(word, "UTF-8")))
-
-
 def phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, n) of all phrases found at least ``least`` times, and (lang, total) of all words.
 
-    The parts of a frequent phrase are frequent. So words are counted first,
-    then pairs of frequent words, then longer phrases all of whose pairs are
-    frequent; filters of bounded size tell the tasks which those are. A false
-    hit of a filter adds a rare phrase, which the count then drops, so counts
+    The parts of a frequent phrase are frequent. So two passes count words,
+    then pairs of frequent words, by 64-bit hashes only, and filters of bounded
+    size tell the tasks of the last pass which words and pairs may be frequent.
+    That pass counts the phrases themselves. A collision or a false hit of a
+    filter lets a rare phrase through, which its own count then drops: counts
     are exact.
     """
-    everything = cut(_counted(docs, (1, 1)))
-    totals = everything.groupBy("lang").agg(F.sum("n").alias("total"))
-    words = everything.where(F.col("n") >= least)
-    known = _filter(words, _hash_of(F.col("phrase")))
-    pairs = cut(_counted(docs, (2, 2), known).where(F.col("n") >= least))
-    found = words.union(pairs)
-    if most_words > 2:
-        first, second = (_hash_of(F.split_part("phrase", F.lit(" "), F.lit(k))) for k in (1, 2))
-        joined = _filter(pairs, first * F.lit(MIX) + second)
-        found = found.union(cut(_counted(docs, (3, most_words), known, joined).where(F.col("n") >= least)))
-    return found, totals
+    hashed, phrased = "lang string, key long, n long", "lang string, phrase string, words int, n long"
+    everything = cut(_scanned(docs, _word_keys, hashed).groupBy("lang", "key").agg(F.sum("n").alias("n")).where(F.col("key").isNull() | (F.col("n") >= least)))
+    totals = everything.where("key IS NULL").select("lang", F.col("n").alias("total")).where("total > 0")
+    words = _filter(everything.where("key IS NOT NULL"))
+
+    def pair_keys(shard):
+        yield _key_batch(*shard.pair_counts(words.value))
+
+    pairs = cut(_scanned(docs, pair_keys, hashed).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    joined = _filter(pairs)
+
+    def phrase_rows(shard):
+        import pyarrow as pa
+
+        for phrase, n, counts in shard.phrase_counts(most_words, words.value, joined.value):
+            yield pa.record_batch([pa.array([shard.lang] * len(phrase), pa.string()), phrase, pa.array([n] * len(phrase), pa.int32()), counts], names=["lang", "phrase", "words", "n"])
+
+    found = _scanned(docs, phrase_rows, phrased).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    return cut(found.where(F.col("n") >= least)), totals
 
 
 def _part(first: Column, last: Column) -> Column:
@@ -231,7 +288,6 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     decide.
     """
     found, totals = phrases(docs, least, most_words)
-    found = cut(found)
     longer = found.where("words > 2")
     inside = longer.select("lang", F.explode(F.array(_part(F.lit(1), F.col("words") - 1), _part(F.lit(2), F.col("words")))).alias("phrase"), "n")
     inside = inside.groupBy("lang", "phrase").agg(F.max("n").alias("held"))
