@@ -14,6 +14,7 @@ from tapeloom.llm import (
     simhash,
     toxicity,
     url_filter,
+    vector_forest,
     whitening,
 )
 
@@ -32,6 +33,7 @@ def queries() -> dict:
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_collocations": collocations.op11_collocations,
         "op12_embedding_whitening": whitening.op12_embedding_whitening,
+        "op13_embedding_near_dedup": vector_forest.op13_embedding_near_dedup,
     }
 
 

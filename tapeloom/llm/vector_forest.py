@@ -266,8 +266,8 @@ def _split_again(members: DataFrame, similar: float, leaf: int, depth: int) -> D
     members = cut(members.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / ROUTED_AT_ONCE))))
     seen = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(1 << 30)) < F.lit(LEAF_SAMPLE << 30) / F.col("n")
     trees = cut(members.where(seen).select("leaf", "n", "unit").groupBy("leaf").applyInArrow(fit, "leaf long, tree binary"))
-    trees = trees.join(members.select("leaf", "part").distinct(), "leaf")  # a tree for each part
-    return members.groupBy("leaf", "part").cogroup(trees.groupBy("leaf", "part")).applyInArrow(route, "node long, slot int, half long")
+    trees = trees.join(members.select("leaf", F.col("part").alias("own")).distinct(), "leaf")  # a tree for each part
+    return members.groupBy("leaf", "part").cogroup(trees.groupBy("leaf", "own")).applyInArrow(route, "node long, slot int, half long")
 
 
 def compared(members: DataFrame, similar: float) -> DataFrame:
