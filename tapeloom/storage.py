@@ -63,5 +63,31 @@ def numbered(df: DataFrame, order: list[str], name: str = "row_index") -> DataFr
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that a job wrote to the shared folder, in whatever store it is."""
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
+
+
+def _at(spark: SparkSession, path: str):
+    """(file system, path) of a place in whatever store it is."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return fs.exists(where)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    fs, where = _at(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def renamed(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a file or folder; the parent of the new place is made, and what is there already is an error."""
+    fs, where = _at(spark, old)
+    target = _at(spark, new)[1]
+    fs.mkdirs(target.getParent())
+    if fs.exists(target) or not fs.rename(where, target):
+        raise OSError(f"cannot rename {old} to {new}")
