@@ -19,8 +19,10 @@ SHARD_WORDS = 1 << 20
 TEXT_BYTES = 1 << 20
 #: Rows of a result batch.
 BATCH_ROWS = 1 << 15
-#: Bits of the filter of frequent words or pairs: 16 for each, at most so many (8 MiB). A full filter only lets more through.
+#: Bits of a filter at most (8 MiB); a full one only lets more through.
 MOST_BITS = 1 << 26
+#: Buckets of pairs and of triples, for each phrase that can be frequent: a bucket holds an eighth of the least count of one, on average.
+BUCKETS = 8
 #: Mixes the hashes of a pair's words.
 SEED, MIX = 42, 0x9E3779B97F4A7C15
 #: Phrases of a language that one task ranks, roughly; more are ranked in parts first.
@@ -77,18 +79,16 @@ def intervals(ids, depth: int, least: int = 1):
         yield n, order[starts[whole]], counts[whole]
 
 
-def _runs(ids, joined, least: int):
-    """``ids`` with a 0 wherever two neighbours are not ``joined``; runs of fewer than ``least`` ids are left out."""
+def stretches(ids, good, n: int):
+    """The ids of all n-grams that ``good`` marks at their first place, those that overlap in one stretch; a 0 ends each."""
     import numpy as np
 
-    breaks = np.flatnonzero(~joined) + 1
-    edges = np.concatenate([[0], breaks, [len(ids)]])
-    lengths = np.diff(edges)
-    keep = np.repeat(lengths >= least, lengths)
-    kept_lengths = lengths[lengths >= least]
-    out = np.zeros(int(keep.sum()) + len(kept_lengths), ids.dtype)
-    at = np.arange(int(keep.sum())) + np.repeat(np.arange(len(kept_lengths)), kept_lengths)
-    out[at] = ids[keep]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], good, [False]])))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2] + n - 1
+    ends = np.cumsum(lengths)
+    within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+    out = np.zeros(len(within) + len(starts), ids.dtype)
+    out[within + np.repeat(ends - lengths + np.arange(len(starts)), lengths)] = ids[within + np.repeat(starts, lengths)]
     return out
 
 
@@ -130,18 +130,31 @@ class Shard:
         lang = self.lang.encode() + b"\x00"
         self.hashes = np.fromiter((xxh64_intdigest(lang + w, SEED) for w in self.known), np.uint64, len(self.known))
 
-    def pair_keys(self, first, second):
+    def buckets(self, ids, at, n: int, bits: int):
+        """The bucket of the n-gram at each place: ``bits`` bits of a hash."""
         import numpy as np
 
-        return self.hashes[first] * np.uint64(MIX) + self.hashes[second]
+        key = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            key = (key + self.hashes[ids[at + k]]) * np.uint64(MIX)
+        return (key >> np.uint64(64 - bits)).view(np.int64)
 
-    def joined(self, words, pairs=None):
-        """Whether the filters have both words at a place and after it, and the pair."""
-        good = _has(words, self.hashes)
-        good[0] = False
-        first, second = self.ids[:-1], self.ids[1:]
-        both = good[first] & good[second]
-        return both if pairs is None else both & _has(pairs, self.pair_keys(first, second))
+    def good(self, filters: list):
+        """For each length up to that of ``filters`` and one: whether all shorter parts of the n-gram at a place may be frequent.
+
+        ``filters`` has that of the words, then (bits, filter) of pairs and so on.
+        """
+        import numpy as np
+
+        word = _has(filters[0], self.hashes)
+        word[0] = False
+        found = [word[self.ids]]
+        for n, (bits, held) in enumerate(filters[1:], start=2):
+            fits = found[-1][:-1] & found[-1][1:]
+            at = np.flatnonzero(fits)
+            fits[at] = _has(held, self.buckets(self.ids, at, n, bits).view(np.uint64))
+            found.append(fits)
+        return [*found, found[-1][:-1] & found[-1][1:]]
 
     def word_counts(self):
         """(hashes, counts) of all words."""
@@ -149,31 +162,32 @@ class Shard:
 
         return self.hashes[1:], np.bincount(self.ids, minlength=len(self.known))[1:]
 
-    def pair_counts(self, words):
-        """(hashes, counts) of the pairs of words that the filter has."""
-        ids = _runs(self.ids, self.joined(words), 2)
-        _, at, counts = next(intervals(ids, 2, 2))
-        return self.pair_keys(ids[at], ids[at + 1]), counts
+    def gram_counts(self, n: int, bits: int, filters: list):
+        """(buckets, counts) of the n-grams whose parts may be frequent."""
+        ids = stretches(self.ids, self.good(filters)[-1], n)
+        _, at, counts = next(intervals(ids, n, n))
+        return self.buckets(ids, at, n, bits), counts
 
-    def phrase_counts(self, most: int, words, pairs):
-        """(phrases, length, counts) as Arrow arrays: words and phrases all of whose words and pairs the filters have."""
+    def phrase_counts(self, most: int, filters: list):
+        """(phrases, length, counts) as Arrow arrays: all words and phrases all of whose parts may be frequent."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
         named = pa.array(self.known, pa.binary())
         counts = np.bincount(self.ids, minlength=len(self.known))
-        good = np.flatnonzero(_has(words, self.hashes))
-        good = good[good > 0]
-        found = [(1, None, good, counts[good])]
-        ids = _runs(self.ids, self.joined(words, pairs), 2)
-        padded = np.concatenate([ids, np.zeros(most, ids.dtype)])
-        found += [(n, padded, at, count) for n, at, count in intervals(ids, most, 2)]
-        for n, words_at, at, count in found:
+        good = self.good(filters)
+        words = np.unique(self.ids[good[0]])
+        found = [(1, words, np.arange(len(words)), counts[words])]
+        for n in range(2, len(filters) + 1):
+            ids = stretches(self.ids, good[n - 1], n)
+            last = n if n < len(filters) else most
+            padded = np.concatenate([ids, np.zeros(most, ids.dtype)])
+            found += [(k, padded, at, count) for k, at, count in intervals(ids, last, n)]
+        for n, ids, at, count in found:
             for k in range(0, len(at), BATCH_ROWS):
                 part = at[k : k + BATCH_ROWS]
-                parts = [named.take(pa.array(part))] if n == 1 else [named.take(pa.array(words_at[part + j])) for j in range(n)]
-                phrase = pc.binary_join_element_wise(*parts, b" ")
+                phrase = pc.binary_join_element_wise(*[named.take(pa.array(ids[part + j])) for j in range(n)], b" ")
                 yield phrase.cast(pa.string()), n, pa.array(count[k : k + BATCH_ROWS], pa.int64())
 
 
@@ -223,45 +237,49 @@ def _word_keys(shard: Shard):
     yield pa.record_batch([pa.array([shard.lang]), pa.nulls(1, pa.int64()), pa.array([int(counts.sum())])], names=["lang", "key", "n"])
 
 
-def _filter(keys: DataFrame):
-    """The bits of the column ``key`` as a broadcast byte array; its size is bounded by MOST_BITS."""
+def _filter(keys: DataFrame, bits: int):
+    """The column ``key``, modulo the size, as a broadcast array of at most ``bits`` bits; bounded by MOST_BITS."""
     import numpy as np
 
-    spark, n = keys.sparkSession, keys.count()
-    bits = min(MOST_BITS, max(1 << 10, 1 << (16 * n).bit_length()))
+    bits = min(MOST_BITS, bits)
     at = F.col("key").bitwiseAND(F.lit(bits - 1))
     rows = keys.select(F.shiftright(at, 6).alias("block"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     found = rows.groupBy("block").agg(F.bit_or("bit").alias("bits")).toArrow()  # 16 bytes for each 64 bits
     blocks = np.zeros(bits // 64, "<i8")
     blocks[found["block"].to_numpy()] = found["bits"].to_numpy()
-    return spark.sparkContext.broadcast(blocks.view(np.uint8))
+    return keys.sparkSession.sparkContext.broadcast(blocks.view(np.uint8))
 
 
 def phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, n) of all phrases found at least ``least`` times, and (lang, total) of all words.
 
-    The parts of a frequent phrase are frequent. So two passes count words,
-    then pairs of frequent words, by 64-bit hashes only, and filters of bounded
-    size tell the tasks of the last pass which words and pairs may be frequent.
-    That pass counts the phrases themselves. A collision or a false hit of a
-    filter lets a rare phrase through, which its own count then drops: counts
-    are exact.
+    The parts of a frequent phrase are frequent. So words are counted first, by
+    64-bit hashes, then pairs of frequent words and triples of frequent pairs,
+    by buckets of a hash, of which there are ``BUCKETS`` times as many as
+    phrases can be frequent. Filters of bounded size tell the tasks of the last
+    pass what may be frequent; that pass counts the phrases themselves. What
+    collisions let through is rare by its own count and dropped: counts are
+    exact.
     """
     hashed, phrased = "lang string, key long, n long", "lang string, phrase string, words int, n long"
     everything = cut(_scanned(docs, _word_keys, hashed).groupBy("lang", "key").agg(F.sum("n").alias("n")).where(F.col("key").isNull() | (F.col("n") >= least)))
     totals = everything.where("key IS NULL").select("lang", F.col("n").alias("total")).where("total > 0")
-    words = _filter(everything.where("key IS NOT NULL"))
+    known = everything.where("key IS NOT NULL")
+    filters = [_filter(known, 1 << max(10, (16 * known.count()).bit_length()))]
+    buckets = max(10, (BUCKETS * (totals.agg(F.sum("total")).first()[0] or 0) // least).bit_length())
+    opened = lambda: [filters[0].value, *[(bits, held.value) for bits, held in filters[1:]]]  # noqa: E731  in a task
+    for n in (2, 3)[: most_words - 1]:
 
-    def pair_keys(shard):
-        yield _key_batch(*shard.pair_counts(words.value))
+        def gram_keys(shard, n=n):
+            yield _key_batch(*shard.gram_counts(n, buckets, opened()))
 
-    pairs = cut(_scanned(docs, pair_keys, hashed).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    joined = _filter(pairs)
+        many = cut(_scanned(docs, gram_keys, hashed).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+        filters.append((buckets, _filter(many, 1 << buckets)))
 
     def phrase_rows(shard):
         import pyarrow as pa
 
-        for phrase, n, counts in shard.phrase_counts(most_words, words.value, joined.value):
+        for phrase, n, counts in shard.phrase_counts(most_words, opened()):
             yield pa.record_batch([pa.array([shard.lang] * len(phrase), pa.string()), phrase, pa.array([n] * len(phrase), pa.int32()), counts], names=["lang", "phrase", "words", "n"])
 
     found = _scanned(docs, phrase_rows, phrased).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
