@@ -35,7 +35,12 @@ def slot() -> Column:
     return F.unix_date("date") * 24 + F.col("hour")
 
 
-def merge_candles(new: DataFrame, folder: str) -> None:
+def slotted(rows: DataFrame, ts: str, hours: int = 1) -> DataFrame:
+    """Add the partition columns: the date and the first hour of the ``hours`` that a partition spans."""
+    return rows.withColumn("date", F.to_date(ts)).withColumn("hour", F.hour(ts) - F.hour(ts) % hours)
+
+
+def merge_candles(new: DataFrame, folder: str, hours: int = 1) -> None:
     """Put candles into the table of ``folder``: by instrument and bucket the new one wins.
 
     Only the hours that ``new`` has are read and replaced; all others keep their
@@ -43,21 +48,24 @@ def merge_candles(new: DataFrame, folder: str) -> None:
     can be run again.
     """
     spark = new.sparkSession
-    new = cut(new.withColumn("date", F.to_date("bucket")).withColumn("hour", F.hour("bucket")))
-    hours = [r[0] for r in new.select(slot().alias("s")).distinct().collect()]  # the hours of one batch
-    if not hours:
+    new = cut(slotted(new, "bucket", hours))
+    slots = [r[0] for r in new.select(slot().alias("s")).distinct().collect()]  # the hours of one batch
+    if not slots:
         return
     if exists(spark, folder):
-        old = spark.read.schema(new.schema).parquet(folder).where(slot().isin(hours))
+        old = spark.read.schema(new.schema).parquet(folder).where(slot().isin(slots))
         new = cut(new.unionByName(old.join(new, CANDLE_KEY, "left_anti")))
     new.repartition("date", "hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "hour").parquet(folder)
 
 
 class Ledger:
-    """Tape, candles and marks below ``root``; :meth:`land` is the function for ``foreachBatch``."""
+    """Tape, candles and marks below ``root``; :meth:`land` is the function for ``foreachBatch``.
 
-    def __init__(self, spark: SparkSession, root: str, delay_seconds: int = 300, width: str = "1 minute"):
-        self.spark, self.root, self.delay, self.width = spark, root.rstrip("/"), delay_seconds * 1_000_000, width
+    A partition spans ``hours`` hours: more where hours hold few trades.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, delay_seconds: int = 300, width: str = "1 minute", hours: int = 1):
+        self.spark, self.root, self.delay, self.width, self.hours = spark, root.rstrip("/"), delay_seconds * 1_000_000, width, hours
 
     def _read(self, name: str) -> DataFrame | None:
         path = f"{self.root}/{name}"
@@ -101,7 +109,7 @@ class Ledger:
         ).first()
         trades = batch.where(good).select("ts", "instrument", F.col("price").cast("double").alias("price"), F.col("qty").cast("long").alias("qty"), "hash_id").dropDuplicates(["hash_id"])
         trades = trades.withColumn("late", F.lit(False) if before is None else self._ends() <= before)
-        trades = trades.withColumn("date", F.to_date("ts")).withColumn("hour", F.hour("ts"))
+        trades = slotted(trades, "ts", self.hours)
         stored = self._read("tape")
         if stored is not None:
             hours = [r[0] for r in trades.select(slot().alias("s")).distinct().collect()]  # a repeated trade lies in the same hour
@@ -130,7 +138,7 @@ class Ledger:
         trades = self._read("tape").where((F.col("batch") <= number) & ~F.col("late") & (self._ends() <= after) & (date <= after // day + 1))
         if before is not None:
             trades = trades.where((self._ends() > before) & (date >= before // day - 1))
-        merge_candles(self._candles(trades), f"{self.root}/candles")
+        merge_candles(self._candles(trades), f"{self.root}/candles", self.hours)
 
     def repair(self) -> list[tuple]:
         """Rebuild the hours that late trades touched since the last repair, from the whole tape of these hours; returns (date, hour) of each.
@@ -149,13 +157,17 @@ class Ledger:
             return []
         numbers = [r[0] for r in hours.select(slot().alias("s")).collect()]
         trades = self._read("tape").where(slot().isin(numbers) & (F.col("batch") <= last) & (self._ends() <= self.watermark()))
-        merge_candles(self._candles(trades), f"{self.root}/candles")
+        merge_candles(self._candles(trades), f"{self.root}/candles", self.hours)
         hours.write.mode("overwrite").parquet(f"{self.root}/repairs/upto={last}")
         return touched
 
     def candles(self) -> DataFrame:
         return self._read("candles")
 
+    def late(self) -> DataFrame:
+        """The side table: (date, hour, instrument, bucket, trades) of each batch's late trades."""
+        return self._read("late")
+
     def counts(self) -> DataFrame:
         """(batch, accepted, repeated, rejected, late) of every batch."""
         return self._read("marks").select("batch", "accepted", "repeated", "rejected", "late")
