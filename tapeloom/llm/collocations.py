@@ -21,9 +21,11 @@ TEXT_BYTES = 1 << 20
 BATCH_ROWS = 1 << 15
 #: Bits of a filter at most (8 MiB); a full one only lets more through.
 MOST_BITS = 1 << 26
-#: Buckets of pairs and of triples, for each phrase that can be frequent: a bucket holds an eighth of the least count of one, on average.
-BUCKETS = 8
-#: Mixes the hashes of a pair's words.
+#: Bits of the filter of words for each frequent one.
+FILTER_BITS = 128
+#: Buckets of pairs and of triples, for each phrase that can be frequent: a bucket holds a 32nd of the least count of one, on average.
+BUCKETS = 32
+#: The seed is that of Spark's xxhash64; the factor mixes the hashes of words.
 SEED, MIX = 42, 0x9E3779B97F4A7C15
 #: Phrases of a language that one task ranks, roughly; more are ranked in parts first.
 RANK_ROWS = 20_000
@@ -156,12 +158,6 @@ class Shard:
             found.append(fits)
         return [*found, found[-1][:-1] & found[-1][1:]]
 
-    def word_counts(self):
-        """(hashes, counts) of all words."""
-        import numpy as np
-
-        return self.hashes[1:], np.bincount(self.ids, minlength=len(self.known))[1:]
-
     def gram_counts(self, n: int, bits: int, filters: list):
         """(buckets, counts) of the n-grams whose parts may be frequent."""
         ids = stretches(self.ids, self.good(filters)[-1], n)
@@ -169,21 +165,21 @@ class Shard:
         return self.buckets(ids, at, n, bits), counts
 
     def phrase_counts(self, most: int, filters: list):
-        """(phrases, length, counts) as Arrow arrays: all words and phrases all of whose parts may be frequent."""
+        """(phrases, length, counts) as Arrow arrays: all phrases whose parts may be frequent, or all words if nothing is known of them."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
         named = pa.array(self.known, pa.binary())
-        counts = np.bincount(self.ids, minlength=len(self.known))
-        good = self.good(filters)
-        words = np.unique(self.ids[good[0]])
-        found = [(1, words, np.arange(len(words)), counts[words])]
-        for n in range(2, len(filters) + 1):
-            ids = stretches(self.ids, good[n - 1], n)
-            last = n if n < len(filters) else most
-            padded = np.concatenate([ids, np.zeros(most, ids.dtype)])
-            found += [(k, padded, at, count) for k, at, count in intervals(ids, last, n)]
+        if not filters:
+            words = np.arange(1, len(named), dtype=np.int32)
+            found = [(1, words, np.arange(len(words)), np.bincount(self.ids, minlength=len(named))[1:])]
+        else:
+            found, good = [], self.good(filters)
+            for n in range(2, len(filters) + 1):
+                ids = stretches(self.ids, good[n - 1], n)
+                padded = np.concatenate([ids, np.zeros(most, ids.dtype)])
+                found += [(k, padded, at, count) for k, at, count in intervals(ids, n if n < len(filters) else most, n)]
         for n, ids, at, count in found:
             for k in range(0, len(at), BATCH_ROWS):
                 part = at[k : k + BATCH_ROWS]
@@ -221,20 +217,29 @@ def _scanned(docs: DataFrame, rows_of, schema: str) -> DataFrame:
     return slim.mapInArrow(scan, schema)
 
 
-def _key_batch(keys, counts):
-    import numpy as np
-    import pyarrow as pa
+def _texts(docs: DataFrame, most: int, filters) -> DataFrame:
+    """(lang, phrase, words, n): the counts of :meth:`Shard.phrase_counts` over all shards."""
+
+    def rows(shard):
+        import pyarrow as pa
+
+        for phrase, n, counts in shard.phrase_counts(most, filters()):
+            size = len(phrase)
+            yield pa.record_batch([pa.array([shard.lang] * size, pa.string()), phrase, pa.array([n] * size, pa.int32()), counts], names=["lang", "phrase", "words", "n"])
+
+    return _scanned(docs, rows, "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+
 
-    return pa.record_batch([pa.nulls(len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], names=["lang", "key", "n"])
+def _keys(docs: DataFrame, n: int, bits: int, filters) -> DataFrame:
+    """(key, n): the counts of :meth:`Shard.gram_counts` over all shards."""
 
+    def rows(shard):
+        import pyarrow as pa
 
-def _word_keys(shard: Shard):
-    import pyarrow as pa
+        keys, counts = shard.gram_counts(n, bits, filters())
+        yield pa.record_batch([pa.array(keys), pa.array(counts, pa.int64())], names=["key", "n"])
 
-    keys, counts = shard.word_counts()
-    yield _key_batch(keys, counts)
-    # the language's total, without a key
-    yield pa.record_batch([pa.array([shard.lang]), pa.nulls(1, pa.int64()), pa.array([int(counts.sum())])], names=["lang", "key", "n"])
+    return _scanned(docs, rows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _filter(keys: DataFrame, bits: int):
@@ -253,37 +258,25 @@ def _filter(keys: DataFrame, bits: int):
 def phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, n) of all phrases found at least ``least`` times, and (lang, total) of all words.
 
-    The parts of a frequent phrase are frequent. So words are counted first, by
-    64-bit hashes, then pairs of frequent words and triples of frequent pairs,
-    by buckets of a hash, of which there are ``BUCKETS`` times as many as
-    phrases can be frequent. Filters of bounded size tell the tasks of the last
-    pass what may be frequent; that pass counts the phrases themselves. What
-    collisions let through is rare by its own count and dropped: counts are
-    exact.
+    The parts of a frequent phrase are frequent. So words are counted first,
+    then pairs of frequent words and triples of frequent pairs, these by buckets
+    of a hash, of which there are ``BUCKETS`` times as many as phrases can be
+    frequent. Filters of bounded size tell the tasks of the last pass what may
+    be frequent; that pass counts the phrases themselves. What collisions let
+    through is rare by its own count and dropped: counts are exact.
     """
-    hashed, phrased = "lang string, key long, n long", "lang string, phrase string, words int, n long"
-    everything = cut(_scanned(docs, _word_keys, hashed).groupBy("lang", "key").agg(F.sum("n").alias("n")).where(F.col("key").isNull() | (F.col("n") >= least)))
-    totals = everything.where("key IS NULL").select("lang", F.col("n").alias("total")).where("total > 0")
-    known = everything.where("key IS NOT NULL")
-    filters = [_filter(known, 1 << max(10, (16 * known.count()).bit_length()))]
-    buckets = max(10, (BUCKETS * (totals.agg(F.sum("total")).first()[0] or 0) // least).bit_length())
+    everything = cut(_texts(docs, 1, list))
+    totals = cut(everything.groupBy("lang").agg(F.sum("n").alias("total")))
+    words = everything.where(F.col("n") >= least)
+    known = words.select(F.xxhash64(F.concat("lang", F.lit("\x00"), "phrase")).alias("key"))  # as Shard.close
+    filters = [_filter(known, 1 << max(10, (FILTER_BITS * known.count()).bit_length()))]
     opened = lambda: [filters[0].value, *[(bits, held.value) for bits, held in filters[1:]]]  # noqa: E731  in a task
+    buckets = max(10, (BUCKETS * (totals.agg(F.sum("total")).first()[0] or 0) // least).bit_length())
     for n in (2, 3)[: most_words - 1]:
-
-        def gram_keys(shard, n=n):
-            yield _key_batch(*shard.gram_counts(n, buckets, opened()))
-
-        many = cut(_scanned(docs, gram_keys, hashed).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+        many = cut(_keys(docs, n, buckets, opened).where(F.col("n") >= least))
         filters.append((buckets, _filter(many, 1 << buckets)))
-
-    def phrase_rows(shard):
-        import pyarrow as pa
-
-        for phrase, n, counts in shard.phrase_counts(most_words, opened()):
-            yield pa.record_batch([pa.array([shard.lang] * len(phrase), pa.string()), phrase, pa.array([n] * len(phrase), pa.int32()), counts], names=["lang", "phrase", "words", "n"])
-
-    found = _scanned(docs, phrase_rows, phrased).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return cut(found.where(F.col("n") >= least)), totals
+    longer = cut(_texts(docs, most_words, opened).where(F.col("n") >= least))
+    return words.unionByName(longer), totals
 
 
 def _part(first: Column, last: Column) -> Column:
