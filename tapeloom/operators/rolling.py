@@ -107,20 +107,25 @@ def rsi(d: DataFrame, period: int = 14, max_rows: int = 35, key: str = "instrume
     return g.select(key, "date", F.when(F.col("s.i") >= period, value).alias("rsi"))
 
 
+def _peers(x: Column, by: list[str]) -> tuple[Column, Column, Column]:
+    """(rows with a value, rows below, rows equal) by one sort: the share of rows up to the last equal one gives the equal ones."""
+    w = W.partitionBy(*by)
+    ordered = w.orderBy(x.asc_nulls_last())
+    below = F.rank().over(ordered) - 1
+    upto = F.round(F.cume_dist().over(ordered) * F.count(F.lit(1)).over(w)).cast("long")
+    return F.count(x).over(w), below, upto - below
+
+
 def mid_rank(x: Column, by: list[str]) -> Column:
     """(values below + half of the equal ones) / n, among the rows of ``by``; 0.5 alone."""
-    w = W.partitionBy(*by)
-    n = F.count(x).over(w)
-    equal = F.count(x).over(W.partitionBy(*by, x))
-    return F.when(x.isNotNull(), F.when(n <= 1, 0.5).otherwise((F.rank().over(w.orderBy(x.asc_nulls_last())) - 1 + 0.5 * equal) / n))
+    n, below, equal = _peers(x, by)
+    return F.when(x.isNotNull(), F.when(n <= 1, 0.5).otherwise((below + 0.5 * equal) / n))
 
 
 def average_rank(x: Column, by: list[str], fallback: float = 0.5) -> Column:
     """Average rank / (n - 1) among the rows of ``by`` that have a value; others get ``fallback``."""
-    w = W.partitionBy(*by)
-    n = F.count(x).over(w)
-    equal = F.count(x).over(W.partitionBy(*by, x))
-    p = (F.rank().over(w.orderBy(x.asc_nulls_last())) - 1 + (equal - 1) / 2) / F.nullif(n - 1, F.lit(0))
+    n, below, equal = _peers(x, by)
+    p = (below + (equal - 1) / 2) / F.nullif(n - 1, F.lit(0))
     return F.when(x.isNull(), fallback).when(n <= 1, 0.5).otherwise(p)
 
 
@@ -145,8 +150,13 @@ def trading_calendar(dates: DataFrame, holidays: tuple = ()) -> DataFrame:
 
 def carried_averages(points: DataFrame, unit: str = "hour", value: str = "price") -> DataFrame:
     """Average by bucket on a gapless grid; empty buckets keep the last average."""
+    w = W.partitionBy("instrument").orderBy("bucket")
+    return average_grid(points, unit, value).withColumn("avg", F.last("avg", ignorenulls=True).over(w))
+
+
+def average_grid(points: DataFrame, unit: str = "hour", value: str = "price") -> DataFrame:
+    """Average by bucket on a gapless grid; null in empty buckets."""
     b = points.groupBy("instrument", F.date_trunc(unit, "ts").alias("bucket")).agg(F.avg(F.col(value).cast("decimal(18,2)")).cast("double").alias("avg"))
     ends = b.groupBy("instrument").agg(F.min("bucket").alias("a"), F.max("bucket").alias("z"))
     grid = ends.select("instrument", F.explode(F.sequence("a", "z", F.expr(f"interval 1 {unit}"))).alias("bucket"))
-    w = W.partitionBy("instrument").orderBy("bucket")
-    return grid.join(b, ["instrument", "bucket"], "left").withColumn("avg", F.last("avg", ignorenulls=True).over(w))
+    return grid.join(b, ["instrument", "bucket"], "left")
