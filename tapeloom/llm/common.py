@@ -52,8 +52,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def every(df: DataFrame) -> list[Column]:
-    """All columns of ``df``, also those with dots in their names."""
-    return [F.col(f"`{c}`") for c in df.columns]
+    """All columns of ``df``, also those with dots or backticks in their names."""
+    quoted = [c.replace("`", "``") for c in df.columns]
+    return [F.col(f"`{c}`") for c in quoted]
 
 
 def as_row(df: DataFrame) -> Column:

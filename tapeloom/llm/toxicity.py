@@ -233,9 +233,9 @@ def learn_lexicon(texts: DataFrame) -> Lexicon:
     return found
 
 
-def score_sums(docs: DataFrame, lexicon: Lexicon, weights: dict) -> DataFrame:
-    """(doc_id, label if there is one, total, most, tokens) of every row."""
-    keep = ["doc_id", *(["label"] if "label" in docs.columns else [])]
+def score_sums(docs: DataFrame, lexicon: Lexicon, weights: dict, with_label: bool = False) -> DataFrame:
+    """(doc_id, label if asked for, total, most, tokens) of every row."""
+    keep = ["doc_id", *(["label"] if with_label else [])]
 
     def scan(batches):
         import pyarrow as pa
@@ -338,7 +338,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     lexicon = learn_lexicon(texts)
     parts, tokens, y = symbol_sums(texts, lexicon)
     weights = learned_weights(parts, tokens, y) if len(set(y)) > 1 else WEIGHTS
-    sample = score_sums(texts, lexicon, weights).drop("doc_id").toPandas()  # at most MAX_TRAIN_ROWS rows of four numbers
+    sample = score_sums(texts, lexicon, weights, with_label=True).drop("doc_id").toPandas()  # at most MAX_TRAIN_ROWS rows of four numbers
     w = calibrated(sample) if sample["label"].nunique() > 1 else PRIOR
     found = score_sums(docs, lexicon, weights)
     x = F.lit(w[0])
