@@ -53,13 +53,18 @@ def any_term(column: str, terms: str) -> Column:
     return F.exists(F.array(*map(F.lit, parts)), lambda t: F.upper(F.col(column)).contains(t)) if parts else F.lit(True)
 
 
-def merged(sources: list[tuple[str, DataFrame]], key: list[str], columns: list[str]) -> DataFrame:
-    """Full outer merge by key: for each column the first source that has a value; ``source`` names the first that has the row."""
+def merged(sources: list[tuple[str, DataFrame]], key: list[str], columns: list[str], prefer: dict[str, list[str]] | None = None) -> DataFrame:
+    """Full outer merge by key: for each column the first source that has a value; ``source`` names the first that has the row.
+
+    ``prefer`` gives columns another order of sources; sources it does not name
+    are not asked for that column.
+    """
     out = None
     for name, df in sources:
         mine = df.select(*key, *[(F.col(c) if c in df.columns else F.lit(None)).alias(f"{name}_{c}") for c in columns], F.lit(name).alias(f"{name}_has"))
         out = mine if out is None else out.join(mine, key, "full")
-    pick = lambda c: F.coalesce(*[F.col(f"{n}_{c}") for n, _ in sources])
+    order = prefer or {}
+    pick = lambda c: F.coalesce(*[F.col(f"{n}_{c}") for n in order.get(c, [n for n, _ in sources])])
     return out.select(*key, *[pick(c).alias(c) for c in columns], pick("has").alias("source"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import clamp, positive, ratio, unit
+from tapeloom.operators import relational
 from tapeloom.operators.scoring import first_match
 
 TREND_BANDS = {"up2": (3, None), "up1": (1, 2), "neutral": (0, 0), "down1": (-2, -1), "down2": (None, -3)}
@@ -171,3 +172,24 @@ def timeline_candles(rows: DataFrame) -> DataFrame:
     vol = F.coalesce("x.dv", F.lit(0.0))
     delta = vol * (F.coalesce("x.haka", F.lit(50.0)) / 50 - 1)
     return e.select("ticker", F.col("x.t").alias("t"), *[F.col("x.p").alias(k) for k in ("open", "high", "low", "close")], vol.alias("vol"), delta.alias("delta"))
+
+
+def skeletal(bars: DataFrame, level_rows: DataFrame, first: int = 10, key: str = "instrument") -> DataFrame:
+    """(key, date, broken): a day is broken if one of its first ``first`` candles with volume has no levels."""
+    early = relational.top(bars.where("vol > 0"), [key, "date"], [F.asc("bucket")], first)
+    have = level_rows.where("bv + av > 0").select(key, "bucket").distinct().withColumn("_has", F.lit(True))
+    return early.join(have, [key, "bucket"], "left").groupBy(key, "date").agg(F.bool_or(F.col("_has").isNull()).alias("broken"))
+
+
+def sector_cvd(snapshots: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """Cumulative delta of every symbol, from the first sector that lists it (``place`` orders the sectors): the given one, else that of the levels."""
+    first = relational.top(snapshots.where(F.coalesce(F.col(symbol), F.lit("")) != ""), [symbol], [F.asc("place")], 1)
+    lots = lambda x, c: F.coalesce(x[c].cast("double"), F.lit(0.0))
+    of_levels = F.when(F.size("levels") > 0, F.aggregate("levels", F.lit(0.0), lambda a, x: a + lots(x, "b_lot") - lots(x, "s_lot")))
+    return first.select(F.upper(symbol).alias(symbol), "sector", F.coalesce(F.col("cvd_lot").cast("double"), of_levels).alias("cvd_lot"), "freq_tx", "price_last")
+
+
+def order_flow_snapshots(snapshots: DataFrame, symbols: str, symbol: str = "symbol", most: int = 120) -> DataFrame:
+    """The newest snapshot (by ts) of each symbol of a comma-separated list; of the list the first ``most`` valid names count."""
+    names = [t for t in dict.fromkeys(x.strip() for x in symbols.upper().split(",")) if re.fullmatch("[A-Z]{2,6}", t)]
+    return relational.latest(snapshots.where(F.upper(symbol).isin(names[:most])), [symbol], "ts")
