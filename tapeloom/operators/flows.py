@@ -38,6 +38,12 @@ def daily_flow(trades: DataFrame, brokers: DataFrame, variant: str = "flow") ->
     return out.withColumn("price", F.floor(ratio(F.col("total_value"), F.col("total_lots"))).cast("long"))
 
 
+def traded_volume(raw: Column, value: Column, average: Column, lots: Column) -> Column:
+    """The volume as given; where it is missing or 0 the value over the average price, else the lots."""
+    given = F.when(raw > 0, raw.cast("double"))
+    return F.coalesce(given, ratio(value, F.when(average > 0, average)), lots.cast("double"))
+
+
 def broker_net(trades: DataFrame, keys: tuple) -> DataFrame:
     """Buys, sells, net value and net lots by ``keys``."""
     buy = F.col("side") == "buy"

@@ -23,6 +23,13 @@ def floored(ts: str | Column, width: str) -> Column:
     return F.window(ts, width).getField("start") if " " in width else F.date_trunc(width, ts)
 
 
+def in_session(ts: Column, date: Column, now: Column, opens: str = "02:00", closes: str = "09:00") -> Column:
+    """Within the session of ``date``, ends included; the session of today ends now, if it has not closed yet."""
+    at = lambda clock: F.to_timestamp(F.concat(date.cast("string"), F.lit(f" {clock}:00")))
+    end = F.when(date == F.to_date(now), F.greatest(at(opens), F.least(now, at(closes)))).otherwise(at(closes))
+    return ts.between(at(opens), end)
+
+
 def bucketed(ticks: DataFrame, width: str = "hour") -> DataFrame:
     return ticks.withColumn("date", F.to_date("ts")).withColumn("bucket", floored("ts", width))
 

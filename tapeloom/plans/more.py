@@ -18,6 +18,14 @@ def _(s, d):
     return bars(s, d).where(minute.between(120, 540)).groupBy("instrument").agg(F.count("*").alias("n"), F.sum("vol").alias("vol"))
 
 
+@query("p03_session_until_now", """SELECT instrument, date, count(*) AS n, sum(vol)::BIGINT AS vol FROM c
+WHERE bucket BETWEEN date + INTERVAL '2 hours' AND CASE WHEN date = DATE '2024-01-29' THEN TIMESTAMP '2024-01-29 05:20:00' ELSE date + INTERVAL '9 hours' END GROUP BY ALL""", "c")
+def _(s, d):
+    c = bars(s, d).withColumn("at", F.col("bucket").cast("timestamp"))
+    inside = tape.in_session(F.col("at"), F.col("date"), F.lit("2024-01-29 05:20:00").cast("timestamp"))
+    return c.where(inside).groupBy("instrument", "date").agg(F.count("*").alias("n"), F.sum("vol").alias("vol"))
+
+
 @query("p07_any_window_passes", "SELECT ticker FROM (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k, foreign_net FROM f) GROUP BY 1 HAVING coalesce(sum(foreign_net) FILTER (k <= 2) > 0, false) OR coalesce(sum(foreign_net) FILTER (k <= 5) > 0, false)", "f")
 def _(s, d):
     k = flow(s, d).withColumn("k", F.row_number().over(W.partitionBy("ticker").orderBy(F.desc("date"))))
@@ -140,6 +148,19 @@ def _(s, d):
     return last.join(flow(s, d), ["ticker", "date"], "left").select("ticker", "state", "price", "buyers")
 
 
+@query("j17_screener_with_live", REGIME + """, a AS (SELECT ticker, state, date FROM rg QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1),
+lv AS (SELECT p_brand AS ticker, arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS price_last, count(*) AS freq FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey < 4 GROUP BY 1)
+SELECT a.ticker, a.state, f.price, f.buyers, lv.price_last, lv.freq FROM a LEFT JOIN f USING (ticker, date) LEFT JOIN lv USING (ticker)""", "f")
+def _(s, d):
+    """State, flow features of its day and a live snapshot; tickers without trades of the live brokers keep nulls."""
+    last = relational.latest(regimes(s, d).select("ticker", "date", "state"), ["ticker"], "date")
+    li, part = adapters.read(s, d, "lineitem").where("l_suppkey < 4"), adapters.read(s, d, "part")
+    at = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    live = li.join(part, li.l_partkey == part.p_partkey).groupBy(F.col("p_brand").alias("ticker")).agg(F.max_by("l_extendedprice", at).alias("price_last"), F.count("*").alias("freq"))
+    found = last.join(flow(s, d), ["ticker", "date"], "left").join(live, "ticker", "left")
+    return found.select("ticker", "state", "price", "buyers", "price_last", "freq")
+
+
 @query("w03_lags", SMART + " SELECT ticker, date, ret, lag(effort, 1) OVER w AS effort_1, lag(effort, 2) OVER w AS effort_2 FROM x WINDOW w AS (PARTITION BY ticker ORDER BY date)", "f")
 def _(s, d):
     w = W.partitionBy("ticker").orderBy("date")
@@ -260,12 +281,6 @@ def _(s, d):
     return activity.hot_score(hot_inputs(s, d), ["date"]).select("instrument", "date", "hot", "stage", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("k01_sorted_scores", HYBRID + " SELECT instrument, date, round(score, 6) AS score FROM h2 ORDER BY coalesce(score, 0) DESC, instrument, date LIMIT 40", "o")
-def _(s, d):
-    h = scoring.hybrid_daily(contexts(s, d))
-    return h.orderBy(F.coalesce("score", F.lit(0.0)).desc(), "instrument", "date").limit(40).select("instrument", "date", F.round("score", 6).alias("score"))
-
-
 @query("k01_all_sorted_scores", HYBRID + " SELECT instrument, date, round(score, 6) AS score, row_number() OVER (ORDER BY coalesce(score, 0) DESC, instrument, date) AS place FROM h2", "o")
 def _(s, d):
     h = scoring.hybrid_daily(contexts(s, d)).withColumn("_sc", -F.coalesce("score", F.lit(0.0)))

@@ -301,6 +301,17 @@ def _(s, d):
     return money(flows.broker_net(t, ("broker",)).select("broker", "buy", "sell", "net", "net_lots"))
 
 
+@query("a10_broker_volumes", """
+SELECT broker, CAST(sum(value) FILTER (side = 'buy') AS DOUBLE) AS buy, CAST(sum(value) FILTER (side = 'sell') AS DOUBLE) AS sell, sum(v) FILTER (side = 'buy') AS buy_volume, sum(v) FILTER (side = 'sell') AS sell_volume
+FROM (SELECT *, floor(CASE WHEN lots % 3 = 0 THEN lots * 100 WHEN lots % 3 = 1 THEN CAST(value AS DOUBLE) / (lots + 7) ELSE lots END) AS v FROM bt) GROUP BY 1""", "bt")
+def _(s, d):
+    """A third of the rows has a raw volume, a third an average price, the rest lots alone."""
+    t = adapters.broker_trades(s, d).withColumns({"raw": F.when(F.col("lots") % 3 == 0, F.col("lots") * 100).otherwise(0), "avg_price": F.when(F.col("lots") % 3 == 1, F.col("lots") + 7).otherwise(0)})
+    t = t.withColumn("v", F.floor(flows.traded_volume(F.col("raw"), F.col("value"), F.col("avg_price"), F.col("lots"))))
+    part = lambda c, side: F.sum(F.when(F.col("side") == side, F.col(c))).cast("double")
+    return t.groupBy("broker").agg(part("value", "buy").alias("buy"), part("value", "sell").alias("sell"), part("v", "buy").alias("buy_volume"), part("v", "sell").alias("sell_volume"))
+
+
 @query("a11_accumulation_status", """
 , x AS (SELECT *, row_number() OVER (PARTITION BY date, ticker ORDER BY net DESC, broker) AS rb, row_number() OVER (PARTITION BY date, ticker ORDER BY net, broker) AS rs FROM n),
 a AS (SELECT date, ticker, coalesce(sum(net) FILTER (rb <= 1 AND net > 0), 0) AS top1_buy, coalesce(sum(net) FILTER (rb <= 3 AND net > 0), 0) AS top3_buy, coalesce(sum(net) FILTER (rb <= 5 AND net > 0), 0) AS top5_buy,
@@ -399,11 +410,6 @@ def _(s, d):
     return relational.top(net(s, d, ("ticker", "broker")), ["ticker"], [F.desc("net_lots"), F.asc("broker")], 20).select("ticker", "broker", "net_lots")
 
 
-@query("k04_top_abs_net", "SELECT broker, ticker, CAST(sum(net) AS DOUBLE) AS net FROM n GROUP BY ALL ORDER BY abs(sum(net)) DESC, broker, ticker LIMIT 25", "n")
-def _(s, d):
-    return money(net(s, d, ("broker", "ticker")).select("broker", "ticker", "net").orderBy(F.desc(F.abs("net")), "broker", "ticker").limit(25))
-
-
 @query("k04_ranked_abs_net", "SELECT broker, ticker, CAST(net AS DOUBLE) AS net, row_number() OVER (PARTITION BY broker ORDER BY abs(net) DESC, ticker) AS place FROM (SELECT broker, ticker, sum(net) AS net FROM n GROUP BY ALL)", "n")
 def _(s, d):
     place = F.row_number().over(W.partitionBy("broker").orderBy(F.desc(F.abs("net")), "ticker"))
