@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tapeloom.llm import chat_format, labels, quality_classifier, toxicity
+from tapeloom.llm import chat_format, exact_dedup, labels, quality_classifier, toxicity
 
 BODY = "\n".join(f"one{i} two{i} three{i} four{i}" for i in range(20))
 ODD = ["a`b", "``", "x.y`z", "label", "quality", "toxic", "bag", "score", "held_out", "predicted", "sums", "tokens", "total", "most"]
@@ -50,3 +50,28 @@ def test_one_large_text_does_not_empty_the_sample(spark):
         warnings.simplefilter("always")
         assert labels.training_texts(docs, lab, "quality", 60, most_bytes=100).count() == 0
     assert any("small enough" in str(w.message) for w in said)
+
+
+@pytest.mark.parametrize("fanout", [2, 3])
+def test_filters_of_the_merge_index_change_the_work_and_not_the_rows(spark, tmp_path, fanout):
+    batch = lambda k: spark.range(400 * k, 400 * k + 400).select(F.unhex(F.sha2(F.when(F.col("id") % 40 == 7, "same").otherwise((F.col("id") % 1500).cast("string")), 256)).alias("digest"), "id")
+    key = lambda i: "same" if i % 40 == 7 else str(i % 1500)
+    names = [[key(i) for i in range(400 * k, 400 * k + 400)] for k in range(5)]
+    want = [len({x for x in own if own.count(x) > 1 or any(x in b for b in names[:k])}) for k, own in enumerate(names)]
+    seen, rows, asked = [], [], []
+    for filters in (True, False):
+        index = exact_dedup.MergeIndex(spark, f"file://{tmp_path}/{filters}", fanout=fanout, filters=filters)
+        seen.append([sorted(bytes(r.digest) for r in index.insert(batch(k)).collect()) for k in range(5)])
+        assert sum(map(len, index.levels)) < 5 and len(list((tmp_path / str(filters)).iterdir())) == sum(map(len, index.levels))  # merged by level, old runs gone
+        rows.append(sorted(tuple(r) for r in index.compact().collect()))
+        asked.append((index.asked, index.askable))
+    assert seen[0] == seen[1] and rows[0] == rows[1] and [len(x) for x in seen[0]] == want
+    assert asked[0][0] < asked[0][1] / 3 and asked[1][0] == asked[1][1] == asked[0][1]
+
+
+def test_exact_groups_in_any_number_of_batches(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 5000))
+    want = sorted(map(tuple, exact_dedup.exact_groups(docs, batches=1).collect()))
+    assert sorted(map(tuple, exact_dedup.exact_groups(docs, batches=5).collect())) == want
+    assert sum(r[3] for r in want) == docs.select("text").distinct().count()
