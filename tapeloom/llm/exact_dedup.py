@@ -16,7 +16,7 @@ FILTER_MAX_HITS = 200_000
 #: Keys of a 64-bit block of a run's filter; blocks that go to every executor at most (16 bytes each).
 KEYS_PER_BLOCK, FILTER_MAX_BLOCKS = 6, 1_000_000
 #: Batches that a table is put into the index in.
-BATCHES = 4
+BATCHES = 3
 
 
 def digest_of(text: Column) -> Column:
