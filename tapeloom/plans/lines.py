@@ -60,16 +60,22 @@ def _(s, d):
     return parsers.calendar_line(o.select(raw.alias("raw"))).select("event_type", "event_subtype", "seq", "epoch", "event_date", "event_time", "symbol_primary", "symbols", "status")
 
 
-@query("s26_book_payload", """
+BOOK = """
 , r AS (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS k, l_quantity AS q, l_linenumber AS p FROM lineitem),
 v AS (SELECT l_suppkey AS id, list({'price': CAST(p AS DOUBLE), 'volume': CASE WHEN k % 2 = 1 THEN q ELSE 0 END} ORDER BY k) AS b, list({'price': CAST(p AS DOUBLE), 'volume': CASE WHEN k % 3 = 0 THEN q ELSE 0 END} ORDER BY k) AS o FROM r WHERE k <= 9 GROUP BY 1)
 SELECT id, CASE WHEN id % 2 = 0 THEN 'INIT' ELSE 'UPDATE' END AS subcmd, CASE WHEN id % 2 = 0 THEN b[1].price ELSE 7 END AS best_bid, CASE WHEN id % 2 = 0 THEN o[1].price ELSE 8 END AS best_offer,
   [[x.price, x.volume] FOR x IN CASE WHEN id % 2 = 0 THEN b[1:3] ELSE list_filter(b, lambda x: x.volume > 0)[1:3] END] AS bids,
-  [[x.price, x.volume] FOR x IN CASE WHEN id % 2 = 0 THEN list_reverse(o[1:3]) ELSE list_filter(o, lambda x: x.volume > 0)[1:3] END] AS offers FROM v""".replace(", r AS", "WITH r AS", 1))
+  [[x.price, x.volume] FOR x IN CASE WHEN id % 2 = 0 THEN list_reverse(o[1:3]) ELSE list_filter(o, lambda x: x.volume > 0)[1:3] END] AS offers FROM v""".replace(", r AS", "WITH r AS", 1)
+#: A supplier may have one line number of one order twice: then that of the smaller quantity comes first, and no tie is left.
+BOOK_ORDERED = BOOK.replace("ORDER BY l_orderkey, l_linenumber)", "ORDER BY l_orderkey, l_linenumber, l_quantity)")
+
+
+@query("s26_book_payload_ordered", BOOK_ORDERED)
+@query("s26_book_payload", BOOK)
 def _(s, d):
     """A supplier's first lines as its book: snapshots for even numbers (in half of them inside another object), else updates."""
     li = adapters.read(s, d, "lineitem")
-    k = relational.top(li.withColumn("k", F.lit(0)), ["l_suppkey"], [F.asc("l_orderkey"), F.asc("l_linenumber")], 9)
+    k = relational.top(li, ["l_suppkey"], [F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_quantity")], 9)
     rows = k.groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q")))).alias("r"))
     vol = lambda n, rest: lambda x, i: F.when((i + 1) % n == rest, x["q"]).otherwise(F.lit(0.0))
     text = lambda c: c.cast("int").cast("string")
