@@ -38,7 +38,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more.
 
-    That with the smallest doc_id stays, nulls last. Texts without words are
+    The multi-index over SimHash fingerprints links sets within two bits, MinHash
+    bands find the similar sets that lie further apart, and whole sets decide. That with the smallest doc_id stays, nulls last. Texts without words are
     one group. Rows that repeat a doc_id are decided each for itself.
     """
     return jaccard.drop_near_copies(docs)

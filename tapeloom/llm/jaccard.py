@@ -1,4 +1,7 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands find pairs, whole shingle sets decide."""
+"""Near copies by the Jaccard similarity of word shingles.
+
+SimHash fingerprints in a multi-index and MinHash bands find pairs, whole shingle sets decide.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapeloom.llm import simhash
 from tapeloom.llm.common import components, keep_one, sha_of, slices
 from tapeloom.storage import cut
 
@@ -72,21 +76,23 @@ def bands(found):
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, sha, node, keys) of every row; node is the digest of the shingle set, 0 without words."""
+    """(doc_id, sha, node, fp, keys) of every row; node is the digest of the shingle set, 0 without words, fp its SimHash."""
     def scan(batches):
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
         for b in slices(batches):
-            nodes, keys = [], []
+            nodes, prints, keys = [], [], []
             for t in b.column(2):
                 found = shingles(t.as_py())
                 nodes.append(xxh64_intdigest(found.tobytes()) - (1 << 63) if len(found) else 0)
+                prints.append(simhash.majority(found.view("u1").reshape(-1, 8)))
                 keys.append(bands(found) if len(found) else [])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "sha", "node", "keys"])
+            columns = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["doc_id", "sha", "node", "fp", "keys"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha_of().alias("sha"), F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInArrow(scan, "doc_id long, sha binary, node long, keys array<long>")
+    return slim.mapInArrow(scan, "doc_id long, sha binary, node long, fp long, keys array<long>")
 
 
 def measured(pairs: DataFrame, texts: DataFrame, lost: bool = False, few: DataFrame | None = None) -> DataFrame:
@@ -143,8 +149,24 @@ def hot_sizes(texts: DataFrame) -> DataFrame:
     return each.groupBy("node").agg(F.count("*").alias("size")).join(single, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own"))
 
 
+def indexed(found: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
+    """Pairs (a, b) of shingle sets that the multi-index over their SimHash fingerprints links.
+
+    Each fingerprint is stood for by the smallest set that has it; sets of one
+    fingerprint are paired with that set.
+    """
+    prints = found.where(F.size("keys") > 0).select("node", "fp").distinct()
+    heads = cut(prints.groupBy("fp").agg(F.min("node").alias("head")))
+    near = F.broadcast if heads.count() <= BROADCAST_TEXTS else (lambda x: x)
+    same = prints.join(near(heads), "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    edges = simhash.links(heads.select("fp"), cap)
+    for side in "ab":
+        edges = edges.join(near(heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_head"))), side)
+    return _pair(same.union(edges.select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))))
+
+
 def links(docs: DataFrame, found: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
-    """Edges (a, b) between the shingle sets of ``found`` that share a bucket and are similar enough.
+    """Edges (a, b) between the shingle sets of ``found`` that the index links or that share a bucket, and that are similar enough.
 
     A bucket with more than ``cap`` members is not compared pair by pair: see
     :func:`_hot_links`.
@@ -154,9 +176,10 @@ def links(docs: DataFrame, found: DataFrame, cap: int = BUCKET_CAP) -> DataFrame
     members = cut(each.join(shared, "key").select("key", "node").distinct())
     hot = cut(members.groupBy("key").count().where(F.col("count") > cap).select("key"))
     small, large = members.join(hot, "key", "left_anti"), members.join(hot, "key", "left_semi")
-    pairs = cut(_pair(small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b")))
+    banded = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b")
+    pairs = cut(_pair(banded.select("a", "b").union(indexed(found, cap))))
     # one text of each candidate
-    wanted = members.select("node").distinct()
+    wanted = members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     reps = cut(found.select("node", "sha").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("sha").alias("sha")))
     near = F.broadcast if reps.count() <= BROADCAST_TEXTS else (lambda x: x)
     texts = docs.select(sha_of().alias("sha"), "text").join(near(reps), "sha").select("node", "text")

@@ -27,15 +27,20 @@ def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
     words = text.encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
         return 0
-    n = max(1, len(words) - width + 1)
     join = b" ".join
     shingles = zip(*(words[i:] for i in range(width)), strict=False) if len(words) >= width else [words]
     digests = b"".join([xxh64_digest(join(s), SEED) for s in shingles])
-    rows = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8))
+
+
+def majority(digests) -> int:
+    """The bits that over half of the eight-byte digests have set."""
+    import numpy as np
+
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, BITS_AT_ONCE):
-        ones += np.unpackbits(rows[at : at + BITS_AT_ONCE], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
+    for at in range(0, len(digests), BITS_AT_ONCE):
+        ones += np.unpackbits(digests[at : at + BITS_AT_ONCE], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(digests)).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -316,3 +316,36 @@ def tiles(parts):
         assert start == at
         at += n
     return at
+
+
+@pytest.mark.parametrize("cap", [64, 2])
+def test_near_stage_links_what_the_index_of_fingerprints_finds(spark, cap):
+    from pyspark.sql import functions as F
+
+    from tapeloom.llm import jaccard
+
+    rng = random.Random(5)
+    texts = ["", "few words"]
+    for _ in range(15):
+        words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        texts += [" ".join(words[: 300 - k]) for k in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = jaccard.signatures(docs)
+    prints = {r.node: r.fp & 0xFFFFFFFFFFFFFFFF for r in found.where("doc_id > 0").collect()}
+    sets = {r.node: set(jaccard.shingles(texts[r.doc_id]).tolist()) for r in found.collect()}
+    near = {(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2}
+    assert len(near) > 10
+
+    def groups(pairs):
+        root = {n: n for n in sets}
+        for a, b in pairs:
+            old, new = root[a], root[b]
+            root = {n: new if r == old else r for n, r in root.items()}
+        return {frozenset(n for n in root if root[n] == r) for r in root.values()}
+
+    assert groups((r.a, r.b) for r in jaccard.indexed(found, cap).collect()) == groups(near)
+    # no two sets share a band here, so all links come from the index, and whole sets decide
+    alone = found.withColumn("keys", F.when(F.size("keys") > 0, F.array("node")).otherwise(F.col("keys")))
+    links = {(r.a, r.b) for r in jaccard.links(docs, alone, cap).collect()}
+    similar = {(a, b) for a, b in near if len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4}
+    assert groups(links) == groups(similar) and all(tuple(sorted(x)) in similar for x in links)
