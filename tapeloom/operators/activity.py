@@ -105,29 +105,28 @@ def book_pressure(ticks: DataFrame, window: int = 60, key: str = "instrument", o
     w = W.partitionBy(key).orderBy(order)
     last = w.rowsBetween(-(window - 1), 0)
     moves = w.rowsBetween(-(window - 2), 0)
-    t = ticks.withColumn("spread_bps", F.when(F.col("best_bid") > 0, (F.col("best_ask") - F.col("best_bid")) / F.col("best_bid") * 10_000).otherwise(20.0))
-    flag = lambda now, op: F.when(F.lag(now).over(w).isNotNull(), op(F.col(now), F.lag(now).over(w)).cast("double"))
-    t = t.withColumn("_up", flag("bid5", lambda a, b: a > b)).withColumn("_same", flag("best_bid", lambda a, b: a == b)).withColumn("_down", flag("ask5", lambda a, b: a < b))
-    t = t.withColumn("_back", F.lag("ask5").over(w) < F.col("ask5"))
-    n = F.count(F.lit(1)).over(last)
-    # the snapshots of a window: at most ``window`` quantities
-    asks = F.collect_list(F.struct(F.col("ask5").alias("q"), F.coalesce("_back", F.lit(False)).alias("back"))).over(last)
-    t = t.withColumn("_asks", asks).withColumn("_n", n)
-    median = F.element_at(F.array_sort(F.transform("_asks", lambda x: x["q"])), (F.floor(F.col("_n") / 2) + 1).cast("int"))
-    t = t.withColumn("_median", F.when(F.col("_n") > 1, F.coalesce(F.nullif(median, F.lit(0.0)), F.lit(1.0))))
-    walls = F.size(F.filter(F.slice("_asks", 2, F.greatest(F.col("_n").cast("int") - 1, F.lit(0))), lambda x: x["back"] & (x["q"] >= F.col("_median") * 1.5)))
-    first = lambda c: F.first(c).over(last)
-    bid_delta = F.when(first("bid5") > 0, (F.col("bid5") - first("bid5")) / first("bid5") * 100).otherwise(0.0)
-    ask_drop = F.when(first("ask5") > 0, (first("ask5") - F.col("ask5")) / first("ask5") * 100).otherwise(0.0)
-    mean = lambda c: F.avg(c).over(moves)
+    spread = F.when(F.col("best_bid") > 0, (F.col("best_ask") - F.col("best_bid")) / F.col("best_bid") * 10_000).otherwise(20.0)
+    # the quantities of a window in columns of their own: _ask1 is that of the snapshot before
+    asks = ["ask5", *[f"_ask{k}" for k in range(1, window)]]
+    t = ticks.withColumns({"spread_bps": spread, "_bid": F.lag("bid5").over(w), "_best": F.lag("best_bid").over(w), **{c: F.lag("ask5", k).over(w) for k, c in enumerate(asks) if k}})
+    flags = {"_up": F.col("bid5") > F.col("_bid"), "_same": F.col("best_bid") == F.col("_best"), "_down": F.col("ask5") < F.col("_ask1")} if window > 1 else dict.fromkeys(("_up", "_same", "_down"), F.lit(None))
+    t = t.withColumns({c: x.cast("double") for c, x in flags.items()})
+    over = {"_n": F.count(F.lit(1)), "_known": F.count("ask5"), "_bid_first": F.first("bid5"), "_ask_first": F.first("ask5"), "_spread": F.avg("spread_bps")}
+    t = t.withColumns({**{c: x.over(last) for c, x in over.items()}, **{f"{c}_mean": F.avg(c).over(moves) for c in flags}})
+    # nulls, also those of places before the first snapshot, come first; the median counts them last
+    upper = F.get(F.sort_array(F.array(*asks)), (F.lit(window) - F.col("_known") + F.floor(F.col("_n") / 2)).cast("int"))
+    t = t.withColumn("_wall", F.coalesce(F.nullif(upper, F.lit(0.0)), F.lit(1.0)) * 1.5)
+    # an ask that grew to a wall since the snapshot before it, within the window
+    walls = sum((F.coalesce((F.col(b) < F.col(a)) & (F.col(a) >= F.col("_wall")), F.lit(False)).cast("int") for a, b in zip(asks, asks[1:])), F.lit(0))
+    bid_delta = F.when(F.col("_bid_first") > 0, (F.col("bid5") - F.col("_bid_first")) / F.col("_bid_first") * 100).otherwise(0.0)
+    ask_drop = F.when(F.col("_ask_first") > 0, (F.col("_ask_first") - F.col("ask5")) / F.col("_ask_first") * 100).otherwise(0.0)
     penalty = clamp(walls / F.greatest(F.col("_n") - 1, F.lit(1)) * 200, 0.0, 100.0)
-    bss = 0.45 * scaled(bid_delta, -10, 40) + 0.35 * scaled(mean("_up"), 0.0, 1.2) + 0.20 * scaled(mean("_same"), 0.2, 1.0)
-    ats = 0.45 * scaled(ask_drop, -10, 40) + 0.35 * scaled(mean("_down"), 0.0, 1.2) + 0.20 * (100 - penalty)
+    bss = 0.45 * scaled(bid_delta, -10, 40) + 0.35 * scaled(F.col("_up_mean"), 0.0, 1.2) + 0.20 * scaled(F.col("_same_mean"), 0.2, 1.0)
+    ats = 0.45 * scaled(ask_drop, -10, 40) + 0.35 * scaled(F.col("_down_mean"), 0.0, 1.2) + 0.20 * (100 - penalty)
     two = F.col("_n") >= 2
-    t = t.withColumn("bss", F.when(two, clamp(bss, 0.0, 100.0))).withColumn("ats", F.when(two, clamp(ats, 0.0, 100.0)))
-    t = t.withColumn("spread_avg", F.avg("spread_bps").over(last))
-    t = t.withColumn("light", book_light(F.col("bss"), F.col("ats"))).withColumn("pressure", pressure(F.col("bss"), F.col("ats"), F.col("spread_avg")))
-    return t.drop("_up", "_same", "_down", "_back", "_asks", "_n", "_median")
+    t = t.withColumns({"bss": F.when(two, clamp(bss, 0.0, 100.0)), "ats": F.when(two, clamp(ats, 0.0, 100.0)), "spread_avg": F.col("_spread")})
+    t = t.withColumns({"light": book_light(F.col("bss"), F.col("ats")), "pressure": pressure(F.col("bss"), F.col("ats"), F.col("spread_avg"))})
+    return t.drop(*asks[1:], *flags, *[f"{c}_mean" for c in flags], *over, "_bid", "_best", "_wall")
 
 
 def book_light(bss: Column, ats: Column) -> Column:

@@ -37,8 +37,8 @@ SELECT instrument, place, """
 
 
 def snapshots(s, d) -> DataFrame:
-    """A supplier's orders as snapshots of its book."""
-    li = adapters.read(s, d, "lineitem")
+    """A supplier's orders as snapshots of its book; its rows are brought together once, for the sums and the windows."""
+    li = adapters.read(s, d, "lineitem").repartition("l_suppkey")
     line, part = F.col("l_linenumber"), F.col("l_partkey")
     cells = {"bid5": F.sum("l_quantity"), "ask5": F.sum(part % 40), "best_bid": 100 + F.min(line), "best_ask": 101 + F.max(line) + F.max(part % 3)}
     return li.groupBy(F.col("l_suppkey").alias("instrument"), F.col("l_orderkey").alias("place")).agg(*[x.cast("double").alias(c) for c, x in cells.items()])

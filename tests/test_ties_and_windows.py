@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from tapeloom.plans import lines  # noqa: F401  registers s26
+from tapeloom.plans import books, lines  # noqa: F401  they register further queries
 from tapeloom.plans import queries as plans
 
 
@@ -22,3 +22,9 @@ def test_book_payload_does_not_depend_on_the_order_of_tied_lines(spark, tmp_path
     want = sorted(map(flat, c.execute(plans.SQL["s26_book_payload_ordered"]).fetchall()))
     for name in ("s26_book_payload", "s26_book_payload_ordered"):
         assert sorted(map(flat, plans.QUERIES[name](spark, str(tmp_path)).collect())) == want
+
+
+@pytest.mark.parametrize("name", ["w14_book_pressure", "c15_pressure", "c16_book_light"])
+def test_book_windows_take_one_shuffle_and_no_lists(spark, name):
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "collect_list" not in plan and "lambdafunction" not in plan
